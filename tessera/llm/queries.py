@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, workspace
+from pyspark.sql import functions as F
+
+from . import ans, decontam, extendible, mixing, workspace
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+SHARD_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -28,9 +31,23 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans.read_digests(spark, path, freqs)
 
 
+def op2_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", *mixing.DIMS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
+
+
+def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return extendible.shard(docs, SHARD_BYTES).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), *extendible.OUT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ipf_mixing": mixing.sql(), "op5_extendible_shards": extendible.sql(SHARD_BYTES)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ans, decontam, extendible, mixing, workspace
+from . import ans, decontam, extendible, langid, mixing, rulefit, workspace
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -45,6 +45,14 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.shard(docs, SHARD_BYTES).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), *extendible.OUT)
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulefit.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ans, decontam, extendible, langid, mixing, omh, rulefit, workspace
+from . import ans, decontam, deleted, extendible, langid, mixing, omh, rulefit, workspace
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -57,6 +57,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 

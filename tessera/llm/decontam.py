@@ -34,6 +34,8 @@ INDEX = "segment string, doc_ids array<bigint>, word_at array<int>, terms binary
 FOUND = "segment string, row int, doc_id bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<string>"
 #: Bytes of item texts that are sent to the executors at once; more go in several rounds.
 ROUND_BYTES = 16 << 20
+#: Ids that are broadcast; more are joined by shuffle.
+SMALL = 200_000
 
 
 def index_terms(docs: DataFrame) -> DataFrame:
@@ -174,3 +176,10 @@ def match(docs: DataFrame, items: DataFrame, window: int = 8, slop: int = 0) ->
 def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, least: int = 2) -> DataFrame:
     """The digest of ``match``: a document is contaminated if windows of ``least`` items occur in it."""
     return match(docs, items, window).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_items") >= least).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 8, least: int = 2) -> DataFrame:
+    """``docs`` without the documents that are contaminated; rows that share a doc_id go together."""
+    found = workspace.materialize(contaminated(docs, items, window, least), "contaminated")
+    gone = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
+    return docs.join(workspace.broadcast_if_small(gone, SMALL), "doc_id", "left_anti").select(docs.columns)

@@ -30,6 +30,8 @@ from . import kernels
 
 BITS = 12
 QUOTA, MOST, LANGS = 600, 12_000, 500
+#: A text whose language is told with less is rejected by keep_known.
+LEAST = 0.25
 ROWS = 1024
 #: Families by ISO 639-1 code; a language not listed is a family of its own. Fixed values.
 FAMILIES = {
@@ -197,15 +199,15 @@ def fit(docs: DataFrame, fold: int = 2, of: int = 4) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score."""
+    """The columns ``keep`` of ``docs`` (with text) and lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("_text"))
+    kept = docs.select(*[c for c in keep if c != "text"], F.col("text").cast("string").alias("text"))
     schema = kept.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch["_text"]
+            texts = batch["text"]
             lang, score = np.full(batch.num_rows, "und", dtype=object), np.zeros(batch.num_rows)
             for a, b, data, offsets in slices(texts) if model else ():
                 letters = np.concatenate(([0], np.cumsum(kernels.ASCII_LETTER[data])))
@@ -218,11 +220,19 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
             if texts.null_count:
                 none = pc.is_null(texts).to_numpy(zero_copy_only=False)
                 lang[none], score[none] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(lang, type=pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + [pa.array(lang, type=pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     return kept.mapInArrow(work, schema)
 
 
+def keep_known(docs: DataFrame, least: float = LEAST, fold: int = 2, of: int = 4) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more, with their own columns."""
+    own = docs.columns
+    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("rest"))
+    told = predict(packed, fit(docs, fold, of), ("rest", "text")).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return told.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in own])
+
+
 def identify(docs: DataFrame, fold: int = 2, of: int = 4) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score."""
     out = predict(docs, fit(docs, fold, of))

@@ -27,6 +27,7 @@ DIMS = ("source", "lang", "topic")
 NONE = "(none)"
 #: Cells or margin values that are broadcast; more are joined by shuffle.
 SMALL = 50_000
+CELLS_A_TASK = 200_000
 SWEEPS, POWER, SEED = 12, 0.7, 17
 #: The topic of a text: the first of these that holds. Fixed values.
 TOPICS = (("legal", "license"), ("contact", "@"), ("table", " | "), ("marked", "***"))
@@ -54,7 +55,8 @@ def fit(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
     """The cells of ``docs`` (as ``described``) with tokens, weight (share of the fitted mix) and ratio (weight per token share)."""
     spark = docs.sparkSession
     cells = workspace.materialize(docs.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total, n = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    files = 1 + n // CELLS_A_TASK
     cells = cells.withColumn("w", F.greatest(F.col("tokens"), F.lit(1)).cast("double") / max(1, total))
     aims = {}
     for d in DIMS:
@@ -71,7 +73,7 @@ def fit(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
             now = cells.groupBy(d).agg(F.sum("w").alias("now"))
             scale = now.join(aims[d], d).select(d, F.when(F.col("now") > 0, F.col("aim") / F.col("now")).otherwise(0.0).alias("by"))
             cells = cells.join(scale, d).withColumn("w", F.col("w") * F.col("by")).select(*DIMS, "tokens", "w")
-        cells = workspace.materialize(cells, "sweep")
+            cells = workspace.materialize(cells.coalesce(files), "sweep")  # else each margin would compute all before it twice
     return cells.withColumn("ratio", F.col("w") / F.greatest(F.col("tokens"), F.lit(1)) * max(1, total))
 
 

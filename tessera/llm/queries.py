@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ans, decontam, deleted, extendible, langid, mixing, omh, rulefit, workspace
+from . import ans, decontam, deleted, extendible, langid, mixing, omh, pivots, rulefit, separators, workspace
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: In flat files the end must be an id that no text has: the first one past the vocabulary.
+FLAT_END_ID = 49_408
 SHARD_BYTES = 1 << 20
 
 
@@ -40,6 +42,10 @@ def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), FLAT_END_ID)
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return extendible.shard(docs, SHARD_BYTES).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), *extendible.OUT)
@@ -57,6 +63,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted.score(table(spark, sf_dir, "documents"))
 
@@ -66,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ipf_mixing": mixing.sql(), "op5_extendible_shards": extendible.sql(SHARD_BYTES)}
+    return {"op2_ipf_mixing": mixing.sql(), "op5_extendible_shards": extendible.sql(SHARD_BYTES), "op8_pivot_search": pivots.sql()}

@@ -146,20 +146,23 @@ def _rectangle(a: float, b: float) -> np.ndarray:
     return np.array([(0.0, 0.0), (a, 0.0), (a, b), (0.0, b), (0.0, 0.0)])
 
 
-def relation(points: DataFrame, precedes, order: str = "index", block: int = BLOCK) -> DataFrame:
+def relation(points: DataFrame, precedes, order: str = "index", block: int = BLOCK, within: str | None = None) -> DataFrame:
     """Edges i, j of all pairs in order.
 
     Points are dealt to blocks of ids; a block meets every later block once, as an
     equi-join on the pair of blocks, so the pairs spread over all tasks without
     a cartesian product or a broadcast side. ``order`` "index" keeps pairs whose
-    ids ascend, as a sprinkling without sorting does; "time" keeps all.
+    ids ascend, as a sprinkling without sorting does; "time" keeps all. ``within``
+    names a column whose values are causal sets of their own; it is kept.
     """
     n_blocks = points.agg(F.floor(F.max("id") / block).alias("b")).first()["b"]
     last = F.lit(0 if n_blocks is None else int(n_blocks))
-    cols = [c for c in points.columns if c != "id"]
+    cols = [c for c in points.columns if c not in ("id", within)]
+    keys = ["p", "q"] + ([within] if within else [])
+    own_key = [within] if within else []
     own = F.floor(F.col("id") / block).cast("int")
-    left = points.select(F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in cols], own.alias("p"))
-    right = points.select(F.col("id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols], own.alias("q"))
+    left = points.select(*own_key, F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in cols], own.alias("p"))
+    right = points.select(*own_key, F.col("id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols], own.alias("q"))
     if order == "index":
         left = left.withColumn("q", F.explode(F.sequence(F.col("p"), last)))
         right = right.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("q"))))
@@ -171,7 +174,7 @@ def relation(points: DataFrame, precedes, order: str = "index", block: int = BLO
     else:
         raise ValueError("order is 'index' or 'time'")
     pred = precedes(lambda k: F.col(f"a_c{k}"), lambda k: F.col(f"b_c{k}"))
-    return left.join(right, ["p", "q"]).filter(keep & pred).select("i", "j")
+    return left.join(right, keys).filter(keep & pred).select(*own_key, "i", "j")
 
 
 def path_counts(edges: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def to_blocks(df: DataFrame, size: int, rows: int, cols: int) -> DataFrame:
     keyed = df.select(F.floor(F.col("i") / size).cast("int").alias("bi"), F.floor(F.col("j") / size).cast("int").alias("bj"), (F.col("i") % size).cast("int").alias("r"), (F.col("j") % size).cast("int").alias("c"), "v")
     cplx = "struct" in dict(df.dtypes)["v"]
 
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(key, table):
         bi, bj = key[0].as_py(), key[1].as_py()
         nr, nc = min(size, rows - bi * size), min(size, cols - bj * size)
         out = np.zeros((nr, nc), dtype=np.complex128 if cplx else np.float64)
@@ -135,7 +135,7 @@ def _block_product(a: Matrix, b: Matrix, wide: str, out: str) -> DataFrame:
 
     parts = x.join(y, "k").mapInArrow(multiply, "bi int, bj int, k int, nr int, nc int, part binary")
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key, table):
         rows = table.sort_by("k")
         nr, nc = rows["nr"][0].as_py(), rows["nc"][0].as_py()
         total = np.zeros((nr, nc), dtype=kind)

@@ -142,7 +142,7 @@ def divide(a, b):
     x, y, make, keys = _aligned(a, b)
     cplx = D.is_complex(out)
     wide = "complex_float64" if cplx else "float64"
-    blank = make(x.limit(0), out, "dense")
+    blank = make(x.limit(0).withColumn("v", D.zero(out)), out, "dense")
     full = densified(blank).select(*keys)
     df = full.join(x.select(*keys, D.cast(F.col("v"), a.dtype, wide).alias("x")), keys, "left").join(y.select(*keys, D.cast(F.col("v"), b.dtype, wide).alias("y")), keys, "left")
     v = D.over(F.coalesce("x", D.zero(wide)), F.coalesce("y", D.zero(wide)), cplx)

@@ -34,7 +34,7 @@ from .langid import held_out
 
 #: Hashes that stand for the end of a text, and for the place before its first token.
 END, BEGIN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 8 << 20
 BUCKET_TOKENS = 2_000_000
 #: Steps of a halving in which estimates are binned for expectation-maximisation.
 STEPS, ROUNDS = 8, 100

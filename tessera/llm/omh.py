@@ -11,11 +11,16 @@ Candidates are verified by banded alignment: the common labelled shingles
 within the band that the threshold leaves are chained in ascending order, and
 the longest chain m gives m / (a + b - m), the ordered Jaccard similarity.
 
-Texts that are equal are collapsed first. In each bucket members are compared
-with one leader; then with the member that has most links so far; then, only
-where a bucket still holds different classes, across those classes. So every
-pair of different texts that share a sketch is compared or already in one
-class, without all pairs of a large group being formed.
+Texts that are equal are collapsed first. The members of a bucket are compared
+with one leader only, the text b that shares most sketches with others. If x and
+y are alike but x and b are not, then |x n y n b| <= |x n b| < |x n y| where
+|b| <= |y|: they share a shingle that b lacks. So members are dealt on by such
+shingles (a prefix of them, rarest first, as long as the needed overlap leaves) to
+buckets of the next round. Rounds go on while a bucket holds different classes,
+or until the pairs that are left are at most ``PAIRS`` a text; those are all
+compared. No round forms the pairs of a large group. A pair that shares sketches is lost
+only if in each of them the leader is longer than both texts and holds all that they
+share.
 
 Null text: a class of its own row's doc_id. Equal texts are one class, also
 empty ones; texts without words are otherwise alike to none. A class id is the
@@ -38,6 +43,11 @@ from . import kernels, workspace
 WIDTH, PICK, SKETCHES, ALIKE = 5, 3, 24, 0.8
 #: Ids that are broadcast to pick rows; more are joined by shuffle.
 SMALL = 200_000
+#: Pairs a text that may be left for a comparison of all that are left.
+PAIRS = 4
+#: Slots of the table of shingle frequencies.
+SLOT_BITS = 17
+_SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -99,30 +109,67 @@ def sketches(grams: np.ndarray, first: np.ndarray, number: int = SKETCHES, pick:
     return out
 
 
+def _chain(i: np.ndarray, j: np.ndarray, band: int) -> int:
+    """Longest chain of common shingles at places i and j that ascend in both, within a band of diagonals."""
+    near = np.abs(i - j) <= band
+    i, j = i[near], j[near]
+    j = j[np.argsort(i)]
+    if len(j) < 2 or (np.diff(j) > 0).all():
+        return len(j)
+    ends: list[int] = []
+    for x in j.tolist():
+        k = bisect_left(ends, x)
+        ends[k : k + 1] = [x]
+    return len(ends)
+
+
+def _least(a: int, b: int, alike: float) -> int:
+    """Common shingles that similarity ``alike`` needs."""
+    return max(1, int(np.ceil(alike / (1 + alike) * (a + b) - 1e-9)))
+
+
 def similarity(a: np.ndarray, b: np.ndarray, alike: float = ALIKE) -> float:
     """Ordered Jaccard similarity of two sequences of labelled shingles; 0 if it is certainly below ``alike``."""
-    least = int(np.ceil(alike / (1 + alike) * (len(a) + len(b)) - 1e-9))
-    if min(len(a), len(b)) < least or not least:
+    least = _least(len(a), len(b), alike)
+    if min(len(a), len(b)) < least:
         return 0.0
-    if len(a) == len(b) and np.array_equal(a, b):
-        return 1.0
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = max(len(a), len(b)) - least
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
     if len(i) < least:
         return 0.0
-    j = j[np.argsort(i)]
-    m = len(j)
-    if m > 1 and not (np.diff(j) > 0).all():
-        ends: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(ends, x)
-            ends[k : k + 1] = [x]
-        m = len(ends)
+    m = _chain(i, j, max(len(a), len(b)) - least)
     return m / (len(a) + len(b) - m)
 
 
+def compare(lead: np.ndarray, x: np.ndarray, partner: int, rank: np.ndarray, alike: float = ALIKE) -> tuple[bool, np.ndarray]:
+    """Whether ``x`` is like its leader, and the shingles by which it is dealt on; partners have ``partner`` shingles at least."""
+    least = _least(len(lead), len(x), alike)
+    common, i, j = np.intersect1d(lead, x, assume_unique=True, return_indices=True)
+    m = _chain(i, j, max(len(lead), len(x)) - least) if len(common) >= least else 0
+    own = np.ones(len(x), dtype=bool)
+    own[j] = False
+    new = x[own]
+    new = new[np.lexsort((new, rank[new >> _SLOT_SHIFT]))]
+    need = max(1, _least(len(x), max(partner, int(np.ceil(alike * len(x) - 1e-9))), alike) - len(common))
+    return m >= least, new[: max(0, len(new) - need + 1)]
+
+
+def _ranks(words: DataFrame) -> np.ndarray:
+    """How often shingles of each hash slot come: at most a row per slot comes to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for batch in batches:
+            for w in batch["words"]:
+                np.add.at(total, (_grams(w.as_buffer()) >> _SLOT_SHIFT).astype(np.int64), 1)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["slot", "n"])
+
+    got = words.select("words").mapInArrow(work, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     """doc_id and sketch values of every row with words, with the key of its text."""
 
@@ -133,9 +180,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 grams, first = shingles(hashes, at)
                 values = sketches(grams, first).view(np.int64)
                 counts = np.where(np.diff(first) > 0, values.shape[1], 0)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), kernels.lists(values.ravel(), np.concatenate(([0], np.cumsum(counts))), pa.int64())], names=["doc_id", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), kernels.lists(values.ravel(), np.concatenate(([0], np.cumsum(counts))), pa.int64()), pa.array(np.diff(first))], names=["doc_id", "key", "sketch", "size"])
 
-    return docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("key")).mapInArrow(work, "doc_id bigint, key binary, sketch array<bigint>")
+    return docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("key")).mapInArrow(work, "doc_id bigint, key binary, sketch array<bigint>, size bigint")
 
 
 def _word_rows(docs: DataFrame) -> DataFrame:
@@ -156,24 +203,25 @@ def _grams(words: bytes) -> np.ndarray:
     return shingles(kernels.mix(w), np.array([0, len(w)]))[0]
 
 
-def _verified(pairs: DataFrame, words: DataFrame, alike: float) -> DataFrame:
-    """``pairs`` (a, b) with whether their texts are alike."""
-    both = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("of_b")), "b").join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("of_a")), "a")
+def _compared(stars: DataFrame, words: DataFrame, rank, alike: float) -> DataFrame:
+    """``stars`` (lead, doc_id, partner) with whether their texts are alike, and the keys of the next round."""
+    both = stars.join(words.select("doc_id", F.col("words").alias("x")), "doc_id").join(words.select(F.col("doc_id").alias("lead"), F.col("words").alias("of_lead")), "lead")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, grams = None, None
+        last = grams = None
         for batch in batches:
-            found = []
-            for a, x, y in zip(batch["a"].to_pylist(), batch["of_a"], batch["of_b"]):
-                if a != last:
-                    last, grams = a, None
-                one = x.as_buffer()
-                if grams is None or grams[0] != one.size:
-                    grams = one.size, _grams(one)
-                found.append(similarity(grams[1], _grams(y.as_buffer()), alike) >= alike)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, type=pa.bool_())], names=["a", "b", "alike"])
+            found, keys = [], []
+            for lead, partner, of_lead, x in zip(batch["lead"].to_pylist(), batch["partner"].to_pylist(), batch["of_lead"], batch["x"]):
+                if lead != last:
+                    last, grams = lead, _grams(of_lead.as_buffer())
+                one, more = compare(grams, _grams(x.as_buffer()), partner, rank.value, alike)
+                found.append(one)
+                keys.append(more.view(np.int64))
+            at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch["lead"], batch["doc_id"], pa.array(found, type=pa.bool_()), kernels.lists(flat, at, pa.int64())], names=["lead", "doc_id", "alike", "keys"])
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(work, "a bigint, b bigint, alike boolean")
+    return both.select("lead", "doc_id", "partner", "of_lead", "x").mapInArrow(work, "lead bigint, doc_id bigint, alike boolean, keys array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,37 +245,46 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     rows = workspace.materialize(_sketched(plain), "sketched")
     texts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     texts = workspace.materialize(texts, "texts")
-    one_each = rows.select("doc_id", "key", "sketch").join(texts.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"])
-    met = one_each.select("doc_id", F.explode("sketch").alias("bucket"))
-    full = met.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("lead"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
-    members = workspace.materialize(met.join(full.select("bucket", F.col("lead.doc_id").alias("a")), "bucket").select("bucket", "a", "doc_id").distinct(), "members")
+    one_each = rows.select("doc_id", "key", "sketch", "size").join(texts.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"])
+    met = one_each.select("doc_id", "size", F.explode("sketch").alias("bucket"))
+    full = met.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("bucket")
+    members = workspace.materialize(met.join(full, "bucket").select("bucket", "doc_id", "size").distinct(), "members")
 
-    ids = members.select("doc_id").distinct()
+    sizes = members.select("doc_id", "size").distinct()
+    ids = sizes.select("doc_id")
     words = workspace.materialize(_word_rows(plain.join(workspace.broadcast_if_small(ids, SMALL), "doc_id", "left_semi")), "words")
-
-    tested = workspace.materialize(_verified(_pairs(members.select("a", F.col("doc_id").alias("b"))), words, alike), "tested")
-    parts = components(tested.filter("alike"))
-    for turn in ("hub", "rest"):
-        mixed = _mixed(members.select("bucket", "doc_id"), parts)
-        mixed = workspace.materialize(mixed, "mixed")
-        if mixed.isEmpty():
+    n_texts = texts.count()
+    rank = plain.sparkSession.sparkContext.broadcast(_ranks(words))
+    edges = None
+    while True:
+        wide = members.groupBy("bucket").agg(F.count("*").alias("n"))
+        weight = members.join(wide, "bucket").groupBy("doc_id").agg(F.sum("n").alias("weight"))
+        leads = members.join(weight, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("doc_id").alias("h"), "doc_id")).alias("x")).select("bucket", F.col("x.doc_id").alias("lead"))
+        stars = workspace.materialize(members.join(leads, "bucket").filter("lead <> doc_id").select("lead", "doc_id", "size").distinct(), "stars")
+        shortest = stars.groupBy("lead").agg(F.min("size").alias("partner"))
+        tested = workspace.materialize(_compared(stars.select("lead", "doc_id").join(shortest, "lead"), words, rank, alike), "tested")
+        links = tested.filter("alike").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
+        edges = workspace.materialize((links if edges is None else edges.unionByName(links)).distinct(), "links")
+        parts = components(edges)
+        failed = tested.filter("not alike").select("lead").distinct()
+        dealt = tested.join(failed, "lead", "left_semi").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(F.coalesce("component", "doc_id").alias("part"), "doc_id", F.explode("keys").alias("key"), "lead")
+        dealt = dealt.select(F.xxhash64("lead", "key").alias("bucket"), "doc_id", "part")
+        mixed = dealt.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
+        members = workspace.materialize(dealt.join(mixed, "bucket", "left_semi").select("bucket", "doc_id").distinct().join(sizes, "doc_id"), "members")
+        own = members.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+        left = own.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not left:
             break
-        if turn == "hub":
-            links = tested.filter("alike")
-            degree = links.select(F.col("a").alias("doc_id")).unionAll(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("links"))
-            hubs = mixed.join(degree, "doc_id", "left").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "part"), F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("doc_id"))).alias("x"))
-            new = mixed.join(hubs, "bucket").filter(F.col("part") != F.col("x.part")).select(F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        else:
-            other = mixed.select("bucket", F.col("doc_id").alias("b"), F.col("part").alias("of_b"))
-            new = mixed.withColumnRenamed("doc_id", "a").join(other, "bucket").filter((F.col("part") < F.col("of_b"))).select("a", "b")
-        new = workspace.materialize(_pairs(new).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        tested = workspace.materialize(tested.unionByName(_verified(new, words, alike)), "tested")
-        parts = components(tested.filter("alike"))
-
-    links = tested.filter("alike")
-    degree = links.select(F.col("a").alias("first")).unionAll(links.select(F.col("b").alias("first"))).groupBy("first").agg(F.count("*").alias("n_links"))
+        if left <= PAIRS * n_texts:  # few enough to compare all that are left, across classes
+            other = own.select("bucket", F.col("doc_id").alias("lead"), F.col("part").alias("of_lead"))
+            pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "doc_id", F.lit(1).cast("bigint").alias("partner")).distinct()
+            tested = workspace.materialize(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike), "tested")
+            links = tested.filter("alike").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
+            edges = workspace.materialize(edges.unionByName(links).distinct(), "links")
+            parts = components(edges)
+            break
+
+    degree = edges.select(F.col("a").alias("first")).unionAll(edges.select(F.col("b").alias("first"))).groupBy("first").agg(F.count("*").alias("n_links"))
     named = texts.join(parts.select(F.col("node").alias("first"), "component"), "first", "left").join(degree, "first", "left")
     named = named.select("key", F.coalesce("component", "first").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     out = rows.select("doc_id", "key").join(named, "key", "left")
@@ -235,18 +292,6 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("bigint").alias("n_copies"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    """Different pairs of different documents, the smaller first."""
-    return df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one class: bucket, doc_id, part."""
-    known = members.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    more = known.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
-    return known.join(more, "bucket", "left_semi")
-
-
 def keep_first(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     """``docs`` without the documents that are not the first of their class."""
     found = workspace.materialize(classes(docs, alike), "classes")

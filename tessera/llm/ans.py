@@ -3,7 +3,8 @@
 One frequency table, scaled to a power of two, serves all blocks. A block holds
 whole documents; its ids go to independent interleaved coder states ("lanes"),
 id t to lane t mod lanes. Every so many steps it keeps the states and the place
-in the word stream, so a reader can begin there, and checksums of ids and words.
+in the word stream, so a reader can begin there, and checksums of the ids and of
+all that follows the header.
 
 Block bytes, little-endian: header (HEAD), checkpoints (place u64, states u64 x
 lanes, in ascending step), words u32. The blocks are rows of a Parquet table
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import kernels, workspace
 from .tokens import encoder
 
-HEAD = struct.Struct("<4sBBHIIQQIII")  # magic, version, bits, lanes, steps between checkpoints, checkpoints, ids, words, table crc, ids crc, words crc
+HEAD = struct.Struct("<4sBBHIIQQIII")  # magic, version, bits, lanes, steps between checkpoints, checkpoints, ids, words, table crc, ids crc, crc of checkpoints and words
 MAGIC, VERSION = b"RNSB", 1
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
@@ -101,19 +102,19 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = 1024, every: int =
         if step % every == 0:
             marks.append((written, x.copy()))
     words = np.concatenate(out[::-1]) if out else np.zeros(0, dtype=np.uint32)
-    body = words.astype("<u4").tobytes()
+    body = b"".join([*(struct.pack("<Q", written - w) + x.astype("<u8").tobytes() for w, x in reversed(marks)), words.astype("<u4").tobytes()])
     head = HEAD.pack(MAGIC, VERSION, table.bits, lanes, every, len(marks), n, len(words), table.crc, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body))
-    return b"".join([head, *(struct.pack("<Q", written - w) + x.astype("<u8").tobytes() for w, x in reversed(marks)), body])
+    return head + body
 
 
 def decode_block(block: bytes, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids of a block, or of the spans between checkpoints ``first`` and ``last``."""
-    magic, version, bits_, lanes, every, n_marks, n, n_words, table_crc, ids_crc, words_crc = HEAD.unpack_from(block)
+    magic, version, bits_, lanes, every, n_marks, n, n_words, table_crc, ids_crc, body_crc = HEAD.unpack_from(block)
     if magic != MAGIC or version != VERSION or table_crc != table.crc:
         raise ValueError("not a block of this format and table")
     at = HEAD.size + n_marks * (8 + 8 * lanes)
-    if zlib.crc32(memoryview(block)[at : at + 4 * n_words]) != words_crc or len(block) != at + 4 * n_words:
-        raise ValueError("damaged block: words")
+    if len(block) != at + 4 * n_words or zlib.crc32(memoryview(block)[HEAD.size :]) != body_crc:
+        raise ValueError("damaged block: checkpoints or words")
     words = np.frombuffer(block, dtype="<u4", count=n_words, offset=at)
     last = n_marks if last is None else min(last, n_marks)
     if first >= last:

@@ -138,4 +138,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, block_ids: in
     if width is None:
         return manifest.select("doc_id", F.col("doc").alias("n_tokens"))
     found = stitch(scan_blocks(spark, folder, end_id, width[0], block_ids, manifest))
-    return manifest.select("doc_id", "file", "doc").join(found, ["file", "doc"]).select("doc_id", (F.col("n_ids") - F.col("closed").cast("int")).alias("n_tokens"))
+    # The manifest packs so well on disk that its size there would make Spark broadcast it
+    return manifest.select("doc_id", "file", "doc").hint("merge").join(found, ["file", "doc"]).select("doc_id", (F.col("n_ids") - F.col("closed").cast("int")).alias("n_tokens"))

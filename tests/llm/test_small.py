@@ -186,6 +186,15 @@ def test_op7(spark, docs, none):
     assert langid.keep_known(many).columns == many.columns and langid.keep_known(many).count() == 160
 
 
+def test_op7_keeps_a_large_family(spark):
+    langs = "be bg cs hr mk pl ru sk uk".split()
+    own = {lang: ["".join(rng.choice("bcdfgklmprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(12)] for lang in langs}
+    many = spark.createDataFrame([(k, prose(30, own[lang]), lang, "s", 0, 0.0, "") for k, lang in enumerate(langs * 30)], SCHEMA)
+    got = langid.identify(many).toPandas().set_index("doc_id")
+    assert all(got.lang_pred[k] == lang for k, lang in enumerate(langs * 30)) and got.score.min() > 0.5
+    assert langid.keep_known(many).count() == 270
+
+
 def test_op8(spark):
     g = np.random.default_rng(2)
     v = [(k, (g.integers(-3, 4, 6) / 4).astype(float).tolist()) for k in range(120)]

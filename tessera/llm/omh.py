@@ -11,16 +11,17 @@ Candidates are verified by banded alignment: the common labelled shingles
 within the band that the threshold leaves are chained in ascending order, and
 the longest chain m gives m / (a + b - m), the ordered Jaccard similarity.
 
-Texts that are equal are collapsed first. The members of a bucket are compared
-with one leader only, the text b that shares most sketches with others. If x and
-y are alike but x and b are not, then |x n y n b| <= |x n b| < |x n y| where
-|b| <= |y|: they share a shingle that b lacks. So members are dealt on by such
-shingles (a prefix of them, rarest first, as long as the needed overlap leaves) to
-buckets of the next round. Rounds go on while a bucket holds different classes,
-or until the pairs that are left are at most ``PAIRS`` a text; those are all
-compared. No round forms the pairs of a large group. A pair that shares sketches is lost
-only if in each of them the leader is longer than both texts and holds all that they
-share.
+Texts that are equal are collapsed first. The members of a bucket are first
+linked to the text that shares most sketches with others. In buckets that still
+hold different classes they are compared with one leader only, the shortest
+text b. If x and y are alike but x has too few shingles in common with b, then
+|x n y n b| <= |x n b| < |x n y|, as |b| <= |y|: they share a shingle that b lacks.
+So members are dealt on by such shingles (a prefix of them, rarest first, as long
+as the needed overlap leaves) to buckets of the next round. Rounds go on while a
+bucket holds different classes, or until the pairs that are left are at most
+``PAIRS`` a text; those are all compared. No round forms the pairs of a large group.
+A pair that shares sketches is lost only if one text has enough shingles in common
+with the leader, but not in its order, and the leader holds all that the pair shares.
 
 Null text: a class of its own row's doc_id. Equal texts are one class, also
 empty ones; texts without words are otherwise alike to none. A class id is the
@@ -224,6 +225,22 @@ def _compared(stars: DataFrame, words: DataFrame, rank, alike: float) -> DataFra
     return both.select("lead", "doc_id", "partner", "of_lead", "x").mapInArrow(work, "lead bigint, doc_id bigint, alike boolean, keys array<bigint>")
 
 
+def _stars(members: DataFrame, order) -> DataFrame:
+    """lead (the member of a bucket that is first in ``order``), doc_id and size of the other members."""
+    leads = members.groupBy("bucket").agg(F.min_by("doc_id", order).alias("lead"))
+    return workspace.materialize(members.join(leads, "bucket").filter("lead <> doc_id").select("lead", "doc_id", "size").distinct(), "stars")
+
+
+def _links(tested: DataFrame) -> DataFrame:
+    return tested.filter("alike").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
+
+
+def _mixed(dealt: DataFrame, sizes: DataFrame) -> DataFrame:
+    """bucket, doc_id and size of the buckets of ``dealt`` (bucket, doc_id, part) that hold different parts."""
+    mixed = dealt.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
+    return workspace.materialize(dealt.join(mixed, "bucket", "left_semi").select("bucket", "doc_id").distinct().join(sizes, "doc_id"), "members")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of the graph with ``edges`` (a, b): smallest labels spread along edges and jump."""
     two = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -255,22 +272,21 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     words = workspace.materialize(_word_rows(plain.join(workspace.broadcast_if_small(ids, SMALL), "doc_id", "left_semi")), "words")
     n_texts = texts.count()
     rank = plain.sparkSession.sparkContext.broadcast(_ranks(words))
-    edges = None
+    wide = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    weight = members.join(wide, "bucket").groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    stars = _stars(members.join(weight, "doc_id"), F.struct(-F.col("weight"), F.xxhash64("doc_id"), "doc_id"))
+    edges = workspace.materialize(_links(_compared(stars.select("lead", "doc_id", F.lit(1).cast("bigint").alias("partner")), words, rank, alike)).distinct(), "links")
+    parts = components(edges)
+    members = _mixed(members.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")), sizes)
     while True:
-        wide = members.groupBy("bucket").agg(F.count("*").alias("n"))
-        weight = members.join(wide, "bucket").groupBy("doc_id").agg(F.sum("n").alias("weight"))
-        leads = members.join(weight, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("doc_id").alias("h"), "doc_id")).alias("x")).select("bucket", F.col("x.doc_id").alias("lead"))
-        stars = workspace.materialize(members.join(leads, "bucket").filter("lead <> doc_id").select("lead", "doc_id", "size").distinct(), "stars")
+        stars = _stars(members, F.struct("size", F.xxhash64("doc_id"), "doc_id"))
         shortest = stars.groupBy("lead").agg(F.min("size").alias("partner"))
         tested = workspace.materialize(_compared(stars.select("lead", "doc_id").join(shortest, "lead"), words, rank, alike), "tested")
-        links = tested.filter("alike").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
-        edges = workspace.materialize((links if edges is None else edges.unionByName(links)).distinct(), "links")
+        edges = workspace.materialize(edges.unionByName(_links(tested)).distinct(), "links")
         parts = components(edges)
         failed = tested.filter("not alike").select("lead").distinct()
         dealt = tested.join(failed, "lead", "left_semi").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(F.coalesce("component", "doc_id").alias("part"), "doc_id", F.explode("keys").alias("key"), "lead")
-        dealt = dealt.select(F.xxhash64("lead", "key").alias("bucket"), "doc_id", "part")
-        mixed = dealt.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
-        members = workspace.materialize(dealt.join(mixed, "bucket", "left_semi").select("bucket", "doc_id").distinct().join(sizes, "doc_id"), "members")
+        members = _mixed(dealt.select(F.xxhash64("lead", "key").alias("bucket"), "doc_id", "part"), sizes)
         own = members.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
         left = own.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not left:
@@ -278,8 +294,7 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
         if left <= PAIRS * n_texts:  # few enough to compare all that are left, across classes
             other = own.select("bucket", F.col("doc_id").alias("lead"), F.col("part").alias("of_lead"))
             pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "doc_id", F.lit(1).cast("bigint").alias("partner")).distinct()
-            tested = workspace.materialize(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike), "tested")
-            links = tested.filter("alike").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
+            links = _links(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike))
             edges = workspace.materialize(edges.unionByName(links).distinct(), "links")
             parts = components(edges)
             break

@@ -268,6 +268,15 @@ def test_op10_large_group_around_a_base(spark):
     assert got == jaccard_classes(table)
 
 
+def test_op10_passage_in_longer_texts(spark):
+    """Short-tailed copies of a passage are alike, also where most texts with it have longer tails."""
+    passage = " ".join(f"common{p}" for p in range(400))
+    tails = [48] * 3 + [52] * 100
+    table = [(k, f"{passage} " + " ".join(f"own{k}x{p}" for p in range(n))) for k, n in enumerate(tails)]
+    got = {r["doc_id"]: r["class_id"] for r in omh.classes(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert got == jaccard_classes(table) == {k: 0 if k < 3 else k for k in range(103)}
+
+
 def test_order_matters():
     a = np.arange(100, dtype=np.uint64)
     assert omh.similarity(a, a) == 1 and omh.similarity(a, np.roll(a, 50)) == 0.0 or omh.similarity(a, np.roll(a, 50)) < 0.8

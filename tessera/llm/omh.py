@@ -20,8 +20,11 @@ So members are dealt on by such shingles (a prefix of them, rarest first, as lon
 as the needed overlap leaves) to buckets of the next round. Rounds go on while a
 bucket holds different classes, or until the pairs that are left are at most
 ``PAIRS`` a text; those are all compared. No round forms the pairs of a large group.
-A pair that shares sketches is lost only if one text has enough shingles in common
-with the leader, but not in its order, and the leader holds all that the pair shares.
+The members of a bucket that have enough shingles in common with the leader are
+compared across classes in the end, if one has them in another order: pairs grow
+with the number of texts with moved parts times that of their unmoved copies. So
+each alike pair that shares sketches ends in one class, and ``PAIRS`` decides on the
+cost and n_links only.
 
 Null text: a class of its own row's doc_id. Equal texts are one class, also
 empty ones; texts without words are otherwise alike to none. A class id is the
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -141,8 +145,8 @@ def similarity(a: np.ndarray, b: np.ndarray, alike: float = ALIKE) -> float:
     return m / (len(a) + len(b) - m)
 
 
-def compare(lead: np.ndarray, x: np.ndarray, partner: int, rank: np.ndarray, alike: float = ALIKE) -> tuple[bool, np.ndarray]:
-    """Whether ``x`` is like its leader, and the shingles by which it is dealt on; partners have ``partner`` shingles at least."""
+def compare(lead: np.ndarray, x: np.ndarray, partner: int, rank: np.ndarray, alike: float = ALIKE) -> tuple[bool, bool, np.ndarray]:
+    """Whether ``x`` is like its leader, whether it would be in another order, and the shingles by which it is dealt on; partners have ``partner`` shingles at least."""
     least = _least(len(lead), len(x), alike)
     common, i, j = np.intersect1d(lead, x, assume_unique=True, return_indices=True)
     m = _chain(i, j, max(len(lead), len(x)) - least) if len(common) >= least else 0
@@ -151,7 +155,7 @@ def compare(lead: np.ndarray, x: np.ndarray, partner: int, rank: np.ndarray, ali
     new = x[own]
     new = new[np.lexsort((new, rank[new >> _SLOT_SHIFT]))]
     need = max(1, _least(len(x), max(partner, int(np.ceil(alike * len(x) - 1e-9))), alike) - len(common))
-    return m >= least, new[: max(0, len(new) - need + 1)]
+    return m >= least, len(common) >= least, new[: max(0, len(new) - need + 1)]
 
 
 def _ranks(words: DataFrame) -> np.ndarray:
@@ -211,18 +215,19 @@ def _compared(stars: DataFrame, words: DataFrame, rank, alike: float) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = grams = None
         for batch in batches:
-            found, keys = [], []
+            found, near, keys = [], [], []
             for lead, partner, of_lead, x in zip(batch["lead"].to_pylist(), batch["partner"].to_pylist(), batch["of_lead"], batch["x"]):
                 if lead != last:
                     last, grams = lead, _grams(of_lead.as_buffer())
-                one, more = compare(grams, _grams(x.as_buffer()), partner, rank.value, alike)
+                one, enough, more = compare(grams, _grams(x.as_buffer()), partner, rank.value, alike)
                 found.append(one)
+                near.append(enough)
                 keys.append(more.view(np.int64))
             at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch["lead"], batch["doc_id"], pa.array(found, type=pa.bool_()), kernels.lists(flat, at, pa.int64())], names=["lead", "doc_id", "alike", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["lead"], batch["doc_id"], pa.array(found, type=pa.bool_()), pa.array(near, type=pa.bool_()), kernels.lists(flat, at, pa.int64())], names=["lead", "doc_id", "alike", "near", "keys"])
 
-    return both.select("lead", "doc_id", "partner", "of_lead", "x").mapInArrow(work, "lead bigint, doc_id bigint, alike boolean, keys array<bigint>")
+    return both.select("lead", "doc_id", "partner", "of_lead", "x").mapInArrow(work, "lead bigint, doc_id bigint, alike boolean, near boolean, keys array<bigint>")
 
 
 def _stars(members: DataFrame, order) -> DataFrame:
@@ -278,12 +283,16 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     edges = workspace.materialize(_links(_compared(stars.select("lead", "doc_id", F.lit(1).cast("bigint").alias("partner")), words, rank, alike)).distinct(), "links")
     parts = components(edges)
     members = _mixed(members.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")), sizes)
+    turned = []
     while True:
         stars = _stars(members, F.struct("size", F.xxhash64("doc_id"), "doc_id"))
         shortest = stars.groupBy("lead").agg(F.min("size").alias("partner"))
         tested = workspace.materialize(_compared(stars.select("lead", "doc_id").join(shortest, "lead"), words, rank, alike), "tested")
         edges = workspace.materialize(edges.unionByName(_links(tested)).distinct(), "links")
         parts = components(edges)
+        otherwise = tested.filter("near and not alike").select("lead").distinct()
+        if not otherwise.isEmpty():
+            turned.append(tested.filter("near").join(otherwise, "lead", "left_semi").select(F.xxhash64("lead", F.lit(len(turned))).alias("bucket"), "doc_id"))
         failed = tested.filter("not alike").select("lead").distinct()
         dealt = tested.join(failed, "lead", "left_semi").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(F.coalesce("component", "doc_id").alias("part"), "doc_id", F.explode("keys").alias("key"), "lead")
         members = _mixed(dealt.select(F.xxhash64("lead", "key").alias("bucket"), "doc_id", "part"), sizes)
@@ -292,12 +301,15 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
         if not left:
             break
         if left <= PAIRS * n_texts:  # few enough to compare all that are left, across classes
-            other = own.select("bucket", F.col("doc_id").alias("lead"), F.col("part").alias("of_lead"))
-            pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "doc_id", F.lit(1).cast("bigint").alias("partner")).distinct()
-            links = _links(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike))
-            edges = workspace.materialize(edges.unionByName(links).distinct(), "links")
-            parts = components(edges)
+            turned.append(members.select("bucket", "doc_id"))
             break
+    if turned:
+        own = reduce(DataFrame.unionByName, turned).join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+        other = own.select("bucket", F.col("doc_id").alias("lead"), F.col("part").alias("of_lead"))
+        pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "doc_id", F.lit(1).cast("bigint").alias("partner")).distinct()
+        links = _links(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike))
+        edges = workspace.materialize(edges.unionByName(links).distinct(), "links")
+        parts = components(edges)
 
     degree = edges.select(F.col("a").alias("first")).unionAll(edges.select(F.col("b").alias("first"))).groupBy("first").agg(F.count("*").alias("n_links"))
     named = texts.join(parts.select(F.col("node").alias("first"), "component"), "first", "left").join(degree, "first", "left")

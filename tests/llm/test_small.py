@@ -277,6 +277,18 @@ def test_op10_passage_in_longer_texts(spark):
     assert got == jaccard_classes(table) == {k: 0 if k < 3 else k for k in range(103)}
 
 
+@pytest.mark.parametrize("pairs", [0, 1 << 40])
+def test_op10_rounds_find_what_comparing_all_finds(spark, monkeypatch, pairs):
+    """All texts in one bucket; the leader holds all that two texts with moved parts share."""
+    sketched = omh._sketched
+    monkeypatch.setattr(omh, "_sketched", lambda docs: sketched(docs).withColumn("sketch", F.expr("if(size > 0, array(1L), sketch)")))
+    monkeypatch.setattr(omh, "PAIRS", pairs)
+    a, b = (" ".join(f"{side}{p}" for p in range(100)) for side in "ab")
+    texts = [f"{a} {b}" + f" end{k}" * (k > 0) for k in range(20)] + [f"{b} " + " ".join(f"own{k}x{p}" for p in range(12)) + f" {a}" for k in range(2)]
+    got = {r["doc_id"]: r["class_id"] for r in omh.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {k: 0 if k < 20 else 20 for k in range(22)}
+
+
 def test_order_matters():
     a = np.arange(100, dtype=np.uint64)
     assert omh.similarity(a, a) == 1 and omh.similarity(a, np.roll(a, 50)) == 0.0 or omh.similarity(a, np.roll(a, 50)) < 0.8

@@ -179,9 +179,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Rules:
     rules = grow(x, y, seed)
     if not rules:
         return plain
-    r = holds(rules, x).astype(np.float64)
-    _, first = np.unique(r[: min(len(r), 4000)], axis=1, return_index=True)
-    rules, r = [rules[k] for k in sorted(first)], r[:, sorted(first)]
+    r = holds(rules, x)
+    _, first = np.unique(np.packbits(r, axis=0), axis=1, return_index=True)
+    rules, r = [rules[k] for k in sorted(first)], r[:, sorted(first)].astype(np.float64)
     scale = np.maximum(np.sqrt(r.mean(axis=0) * (1 - r.mean(axis=0))), 0.02)
     z = r / scale
     test = np.random.default_rng(seed).random(len(y)) < 0.2

@@ -174,6 +174,17 @@ def test_op6(spark, docs, none):
     assert rulefit.classify(none, labels).count() == 0
 
 
+def test_op6_junk_in_late_rows():
+    """Rules that hold alike on the first 4000 rows and differ later are kept apart."""
+    g = np.random.default_rng(4)
+    x = np.zeros((6000, len(rulefit.STATS)))
+    x[4000:, :2] = g.random((2000, 2))
+    y = ((x[:, 0] <= 0.5) & (x[:, 1] <= 0.5)).astype(float)
+    found = rulefit.fit_rules(x, y)
+    score = found.intercept + rulefit.holds(found.rules, x) @ np.array(found.weights)
+    assert ((score > 0) == (y > 0))[4000:].mean() > 0.95
+
+
 def test_op7(spark, docs, none):
     own = {"en": ["the", "that", "with", "shall"], "de": ["und", "nicht", "schon", "ich"], "fr": ["les", "avec", "eaux", "que"], "es": ["los", "ción", "ella", "ñandú"]}
     table = [(k, prose(30, own[lang]), lang, "s", 0, 0.0, "") for k, lang in enumerate(list(own) * 40)]

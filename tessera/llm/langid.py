@@ -9,7 +9,8 @@ against each other one of the family, which is near 1 for a sure text in a
 family of any size.
 
 Training takes at most ``QUOTA`` whole texts a language and ``MOST`` in all,
-chosen by hash; that is the only sample. Every whole text is scored.
+chosen by hash, of the ``LANGS`` most frequent languages; a rarer language is not
+learned and its texts get another one. Every whole text is scored.
 
 Null text, or text without a letter: ``und``, score 0. Without training rows
 every text is ``und``; with one learned language all texts with a letter get it.

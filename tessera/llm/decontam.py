@@ -178,8 +178,14 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, least: int
     return match(docs, items, window).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_items") >= least).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = 8, least: int = 2) -> DataFrame:
-    """``docs`` without the documents that are contaminated; rows that share a doc_id go together."""
-    found = workspace.materialize(contaminated(docs, items, window, least), "contaminated")
-    gone = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(workspace.broadcast_if_small(gone, SMALL), "doc_id", "left_anti").select(docs.columns)
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 8, least: int = 1) -> DataFrame:
+    """``docs`` without the rows in whose text windows of ``least`` items occur, whatever their doc_id.
+
+    A text is known again by its 64-bit hash.
+    """
+    key = F.xxhash64(F.col("text").cast("string"))
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), items, window, least)
+    gone = workspace.materialize(found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    packed = docs.select(F.struct(*workspace.own(docs)).alias("_row"), key.alias("_gone"))
+    out = packed.join(workspace.broadcast_if_small(gone, SMALL), "_gone", "left_anti")
+    return out.select(*workspace.unpacked(out, "_row"))

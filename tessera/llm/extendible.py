@@ -8,7 +8,9 @@ cells; only documents of cells that are still too large are looked at again.
 
 A bucket of one document, or of rows that share a doc_id, cannot split any
 further: it keeps its rows and is marked ``oversize``. Null text has no bytes;
-a null doc_id hashes as the empty string. An empty table gives no shards.
+a null doc_id hashes as the empty string. An empty table gives no shards. Rows are
+packed while they are dealt, so no name of theirs clashes with ours; a long text
+only counts.
 """
 
 from __future__ import annotations
@@ -53,8 +55,7 @@ def directory(keyed: DataFrame, max_bytes: int) -> list[DataFrame]:
 
 def shard(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with its shard (a bit string), depth, shard_bytes, shard_docs and oversize; columns of these names are replaced."""
-    docs = docs.drop(*OUT, "_h", "_n")
-    keyed = docs.withColumn("_h", _hash(key)).withColumn("_n", F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("bigint"))
+    keyed = docs.select(F.struct(*workspace.own(docs, OUT)).alias("_row"), _hash(key).alias("_h"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("bigint").alias("_n"))
     levels = directory(keyed, max_bytes)
     out = keyed
     for k, level in enumerate(levels):
@@ -63,7 +64,7 @@ def shard(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "tex
     found = F.coalesce(*[F.col(f"_x{k}") for k in range(len(levels))])
     out = out.withColumn("_x", found)
     return out.select(
-        *docs.columns,
+        *workspace.unpacked(out, "_row"),
         F.when(F.col("_x.depth") == 0, F.lit("")).otherwise(F.expr(f"lpad(bin(shiftright(_h, {BITS} - _x.depth)), _x.depth, '0')")).alias("shard"),
         F.col("_x.depth").alias("depth"), F.col("_x.shard_bytes").alias("shard_bytes"), F.col("_x.shard_docs").alias("shard_docs"),
         (F.col("_x.shard_bytes") > max_bytes).alias("oversize"),

@@ -8,14 +8,15 @@ the score is the family's probability times the language's mean probability
 against each other one of the family, which is near 1 for a sure text in a
 family of any size.
 
-Training takes at most ``QUOTA`` whole texts a language and ``MOST`` in all,
-chosen by hash, of the ``LANGS`` most frequent languages; a rarer language is not
-learned and its texts get another one. Every whole text is scored.
+Training takes about ``QUOTA`` whole texts of every language, chosen by hash, and
+about ``MOST`` in all: fewer a language where there are many languages, but one is
+always expected. Every whole text is scored; a very long one takes the memory of
+its bytes a few times over.
 
 Null text, or text without a letter: ``und``, score 0. Without training rows
 every text is ``und``; with one learned language all texts with a letter get it.
 Null lang is not learned from. Repeated rows are scored alike. Rows with a null
-doc_id count as doc_id ''.
+doc_id count as doc_id ''. Other columns are ignored, or kept as they are.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, workspace
 
 BITS = 12
-QUOTA, MOST, LANGS = 600, 12_000, 500
+QUOTA, MOST = 600, 12_000
 #: A text whose language is told with less is rejected by keep_known.
 LEAST = 0.25
-ROWS = 1024
+ROWS = 512
 #: Families by ISO 639-1 code; a language not listed is a family of its own. Fixed values.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -177,10 +178,10 @@ class Model:
 def fit(docs: DataFrame, fold: int = 2, of: int = 4) -> Model | None:
     """Learn from text and lang of the rows of ``docs`` outside the fold."""
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & ~held_out(fold, of))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return None
-    quota = min(QUOTA, MOST // len(counts))
+    quota = min(QUOTA, max(1, MOST // len(counts)))
     shares = docs.sparkSession.createDataFrame([(k, min(1 << 30, int(quota / n * (1 << 30)))) for k, n in counts.items()], "lang string, _share bigint")
     chosen = known.join(F.broadcast(shares), "lang").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < F.col("_share")))
 
@@ -230,10 +231,9 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
 
 def keep_known(docs: DataFrame, least: float = LEAST, fold: int = 2, of: int = 4) -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of ``least`` or more, with their own columns."""
-    own = docs.columns
-    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("rest"))
+    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*workspace.own(docs, ("text",))).alias("rest"))
     told = predict(packed, fit(docs, fold, of), ("rest", "text")).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return told.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in own])
+    return told.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def identify(docs: DataFrame, fold: int = 2, of: int = 4) -> DataFrame:

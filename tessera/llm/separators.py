@@ -15,7 +15,8 @@ They are read in ranges, or as whole rows of Spark's binaryFile source where
 only Spark can open the store.
 
 Null or empty text: the end id alone, so 0 tokens. Repeated rows stay repeated.
-An empty table, or empty files, give no rows.
+An empty table, or empty files, give no rows. A null doc_id stays null; other columns
+are ignored. A long text takes as much memory as its bytes and ids.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels, workspace
-from .tokens import encoder
+from .tokens import encoder, past_vocabulary
 
 BLOCK_IDS = 4 << 20
 SCHEMA = "file string, block bigint, n_ids bigint, ends array<bigint>"
@@ -129,9 +130,13 @@ def stitch(blocks: DataFrame) -> DataFrame:
     return docs.select("file", (F.col("doc0") + F.col("k")).alias("doc"), start.alias("start"), (F.col("end") - start).alias("n_ids"), (F.col("k") < F.col("n_closed")).alias("closed"))
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Write ``docs`` to flat files and count them by a scan: doc_id, n_tokens (without the end id)."""
+def count_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """Write ``docs`` to flat files and count them by a scan: doc_id, n_tokens (without the end id).
+
+    ``end_id`` must be an id that no text has; without one it is the first past the vocabulary.
+    """
     spark = docs.sparkSession
+    end_id = past_vocabulary(tokenizer) if end_id is None else end_id
     folder = workspace.table_path(spark, "flat")
     manifest = write_flat(docs, folder, tokenizer, end_id)
     width = manifest.select("width").first()

@@ -31,6 +31,14 @@ def encoder(path: str, end_id: int) -> "Encoder":
     return _LOADED[path, end_id]
 
 
+def past_vocabulary(path: str) -> int:
+    """The first id that the tokenizer file at ``path`` gives to nothing."""
+    spec = json.load(open(path))
+    vocab = spec["model"]["vocab"]
+    ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
+    return 1 + max([*ids, *(x["id"] for x in spec.get("added_tokens", []))])
+
+
 class Encoder:
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,6 +48,9 @@ class Encoder:
         spec = json.load(open(path))
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        #: Added tokens are found in the text as it is written, before letters are folded.
+        self.marks = np.zeros(256, dtype=bool)
+        self.marks[[x["content"].encode()[0] for x in spec.get("added_tokens", []) if x["content"]]] = True
         self.by_piece, self.plain = _splits_at_blanks(spec), _plain_model(spec)
         self._forget()
 
@@ -78,6 +89,10 @@ class Encoder:
             at = last[own]
             starts = np.insert(starts, own + 1, at)
             ends = np.insert(ends, own, at)
+        at = np.flatnonzero(self.marks[data])
+        if len(at):  # pieces that may hold an added token keep their letters
+            for k in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
+                lower[starts[k] : ends[k]] = data[starts[k] : ends[k]]
         keys, first, which = np.unique(hash_runs(lower, starts, ends), return_index=True, return_inverse=True)
         spot = self._find(keys, first, lower, starts, ends)
         counts = self.count[spot][which]
@@ -144,7 +159,7 @@ def _splits_at_blanks(spec: dict) -> bool:
     first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}])[0]
     pattern = (first.get("pattern") or {}).get("Regex", "")
     drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in pattern and r"[\p{L}]+" in pattern
-    return bool(drops and "Lowercase" in kinds and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", [])))
+    return bool(drops and "Lowercase" in kinds and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") or set(x["content"]) & {" ", "\n"} for x in spec.get("added_tokens", [])))
 
 
 def _plain_model(spec: dict) -> bool:

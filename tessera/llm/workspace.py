@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (a local test), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own, which only a local master may have."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_tessera_shared", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark._tessera_shared = found
         spark.sparkContext.setCheckpointDir(found)
@@ -29,12 +32,20 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own(df: DataFrame, skip: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df`` by their names as they are, whatever characters they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in skip]
+
+
+def unpacked(df: DataFrame, row: str, skip: tuple[str, ...] = ()) -> list[Column]:
+    """The fields of the struct column ``row``."""
+    return [F.col(row).getField(c).alias(c) for c in df.schema[row].dataType.names if c not in skip]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows (counted), else as it is."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

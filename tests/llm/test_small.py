@@ -59,6 +59,8 @@ def test_kernels_hash_words_alike():
 def test_encoder_equals_the_library():
     enc = tokens.encoder(queries.tokenizer_path(), 1)
     texts = ["Hello, World.. it's 2024!", "élan Éa queçé. ñandú", "a.b , c", "", "<|endoftext|> x", "don't\tstop\nnow", "日本 語."]
+    for mark in ("<|endoftext|>", "<|startoftext|>"):
+        texts += [t.replace("@", x) for x in (mark, mark.upper(), mark.title(), "<|EndOfText|>") for t in ("@", "@ x", "Ab@Cd, e", "Ab @. @@,", "X.@", "<@>", "<|@ |")]
     for _, _, data, offsets in kernels.utf8_slices(pa.array(texts)):
         ids, at = enc.encode(data, offsets)
     want = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -101,8 +103,19 @@ def test_op2(docs, none):
     cells = mixing.fit(mixing.described(docs), {"lang": {"en": 0.5, "fr": 0.3, "(none)": 0.2}}, sweeps=40).toPandas()
     share = cells.groupby("lang").w.sum() / cells.w.sum()
     assert abs(share["fr"] - 0.3) < 0.05
-    assert mixing.mix(none).count() == 0
-    assert mixing.sample(docs).columns == docs.columns
+    assert mixing.mix(none).count() == 0 and mixing.sample(none).count() == 0
+    chosen = {r["doc_id"] for r in got if r["selected"]}
+    kept = mixing.sample(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == chosen and 0 < len(chosen) < 22
+
+
+@pytest.mark.parametrize("rare", [0, 1, 10])
+def test_op2_rate_does_not_hang_on_the_rarest_cell(spark, rare):
+    table = [(k, prose(50), "en", f"s{k % 3 // 2}", 0, 0.0, "") for k in range(300)] + [(900 + k, None if k % 2 else "one", "xx", "tiny", 0, 0.0, "") for k in range(rare)]
+    got = mixing.mix(spark.createDataFrame(table, SCHEMA), keep=0.8).toPandas()
+    assert abs((got.probability * got.n_tokens).sum() / got.n_tokens.sum() - 0.8) < 1e-6 and got.probability.max() <= 1
+    small, large = (got[got.source == s].probability.iloc[0] for s in ("s1", "s0"))
+    assert small > large > 0.5
 
 
 def test_op3(spark, docs, none, rows):
@@ -133,7 +146,12 @@ def test_op3(spark, docs, none, rows):
     near = spark.createDataFrame([(9, "one two blah three")], "doc_id bigint, text string")
     three = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
     assert decontam.match(near, three).first()["n_items"] == 0 and decontam.match(near, three, slop=1).first()["n_items"] == 1
-    assert decontam.keep_clean(docs, bench).columns == docs.columns
+    assert decontam.keep_clean(none, bench).count() == 0
+    long_ = bench.filter("item_id < 3")
+    odd = docs.withColumn("a.b`c", F.lit(1)).unionByName(spark.createDataFrame([(None, f"x {passage} y", "en", "s", 0, 0.0, "", 1), (3, "another text of row three that is clean", "en", "s", 0, 0.0, "", 1)], SCHEMA + ", `a.b``c` int"))
+    kept = decontam.keep_clean(odd, long_)
+    assert kept.columns == odd.columns
+    assert collections.Counter(r["text"] for r in odd.collect()) - collections.Counter(r["text"] for r in kept.collect()) == {rows[3][1]: 1, f"x {passage} y": 1}
 
 
 def test_op4(docs, none, rows):
@@ -159,6 +177,8 @@ def test_op5(docs, none):
         assert size == part.shard_bytes.iloc[0] and (size <= 2000 or part.doc_id.nunique() == 1 and part.oversize.all())
     names = sorted(got.shard.unique())
     assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+    odd = docs.select("*", F.lit("mine").alias("_x"), F.lit("too").alias("_h"), F.lit(3).alias("_row"), F.lit(4).alias("a.b"))
+    assert {(r["_x"], r["_h"], r["_row"], r["a.b"]) for r in extendible.shard(odd, 2000).collect()} == {("mine", "too", 3, 4)}
     assert extendible.shard(none, 100).count() == 0 and set(extendible.shard(docs, 10**9).toPandas().depth) == {0}
 
 

@@ -13,6 +13,8 @@ from tessera.llm import decontam, extendible, langid, mixing, omh, queries, work
 
 #: Target shares are the observed ones to this power.
 MIX_POWER = 0.9
+#: Share of the tokens that the mix keeps.
+MIX_KEEP = 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which passages of at most one benchmark item occur."""
+    """Documents in which no passage of a benchmark item occurs."""
     return decontam.keep_clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample by the raked weights of source, language and topic."""
-    return mixing.sample(docs, power=MIX_POWER)
+    return mixing.sample(docs, keep=MIX_KEEP, power=MIX_POWER)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,31 +5,40 @@ a text of fewer words is one shingle), each labelled with its occurrence number.
 A sketch takes the ``PICK`` labelled shingles of smallest hash and keeps them
 in text order, so texts meet in a sketch only if those shingles agree and stand
 in the same order. ``SKETCHES`` sketches make the candidate buckets; two texts
-of similarity 0.8 miss each other in all of them with a chance of 3e-8.
+whose shingles have a Jaccard similarity of 0.8 miss each other in all of them with
+a chance of 3e-11, of 0.5 with 1e-3, of 0.4 with 1.5e-2.
 
-Candidates are verified by banded alignment: the common labelled shingles
-within the band that the threshold leaves are chained in ascending order, and
-the longest chain m gives m / (a + b - m), the ordered Jaccard similarity.
+Candidates are verified by banded alignment. Two texts are alike if their words
+have an edit similarity 1 - d / max(a, b) of 0.8 or more, where d counts words put
+in, left out or exchanged, in the band of diagonals that the threshold leaves; or
+if the longest ascending chain of m common shingles within that band gives an
+ordered Jaccard similarity m / (a + b - m) of 0.8 or more.
 
 Texts that are equal are collapsed first. The members of a bucket are first
 linked to the text that shares most sketches with others. In buckets that still
 hold different classes they are compared with one leader only, the shortest
-text b. If x and y are alike but x has too few shingles in common with b, then
-|x n y n b| <= |x n b| < |x n y|, as |b| <= |y|: they share a shingle that b lacks.
-So members are dealt on by such shingles (a prefix of them, rarest first, as long
-as the needed overlap leaves) to buckets of the next round. Rounds go on while a
-bucket holds different classes, or until the pairs that are left are at most
-``PAIRS`` a text; those are all compared. No round forms the pairs of a large group.
-The members of a bucket that have enough shingles in common with the leader are
-compared across classes in the end, if one has them in another order: pairs grow
-with the number of texts with moved parts times that of their unmoved copies. So
-each alike pair that shares sketches ends in one class, and ``PAIRS`` decides on the
-cost and n_links only.
+text b. If x and y have a Jaccard similarity of ``LOOSE`` or more but x has too few
+shingles in common with b for that, then |x n y n b| <= |x n b| < |x n y|, as
+|b| <= |y|: they share a shingle that b lacks. So members are dealt on by such
+shingles (a prefix of them, rarest first, as long as the needed overlap leaves) to
+buckets of the next round; those that have enough in common with b are dealt on by
+all that b lacks. Rounds go on while a bucket holds different classes, or until the
+pairs that are left are at most ``PAIRS`` a text; those are all compared. No round
+forms the pairs of a large group. Members whose ordered shingles, but for the order,
+are like the leader's are compared across classes in the end: pairs grow with the
+number of texts with moved parts times that of their unmoved copies.
+
+So pairs of an ordered Jaccard similarity of 0.8 that share a sketch always end in
+one class. Pairs that are alike by their words alone do so too if they share a
+sketch and a Jaccard similarity of ``LOOSE``, but for one case: all the shingles
+that they have in common stand in a leader that is like neither.
 
 Null text: a class of its own row's doc_id. Equal texts are one class, also
 empty ones; texts without words are otherwise alike to none. A class id is the
-smallest doc_id of the class (null if all are null). Rows that share a doc_id
-are one document. An empty table gives an empty table.
+smallest doc_id of the class (null if all are null). Texts are told apart by their
+md5, whatever their doc_ids. A very long text costs time in proportion to the
+square of its words over 64. Other columns are ignored, or kept as they are. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,12 +49,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, workspace
 
-WIDTH, PICK, SKETCHES, ALIKE = 5, 3, 24, 0.8
+WIDTH, PICK, SKETCHES, ALIKE = 5, 2, 24, 0.8
+#: Shingle similarity down to which members that are not like their leader still meet.
+LOOSE = 0.5
+#: Parts into which the members of one leader are dealt.
+SALTS = 256
+#: Links of a node from which its neighbours hear its label in parts.
+DEGREE = 100_000
 #: Ids that are broadcast to pick rows; more are joined by shuffle.
 SMALL = 200_000
 #: Pairs a text that may be left for a comparison of all that are left.
@@ -145,8 +160,70 @@ def similarity(a: np.ndarray, b: np.ndarray, alike: float = ALIKE) -> float:
     return m / (len(a) + len(b) - m)
 
 
-def compare(lead: np.ndarray, x: np.ndarray, partner: int, rank: np.ndarray, alike: float = ALIKE) -> tuple[bool, bool, np.ndarray]:
-    """Whether ``x`` is like its leader, whether it would be in another order, and the shingles by which it is dealt on; partners have ``partner`` shingles at least."""
+def edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
+    """Words put in, left out or exchanged between ``x`` and ``y``, or more than ``most`` if they are more than that.
+
+    Bit b of the vectors is the cell in row j - most + b of column j, so they hold the
+    band of diagonals up to ``most`` and move down with the columns; a bit says whether
+    a cell is one more (or less) than the cell above it.
+    """
+    if len(x) < len(y):
+        x, y = y, x
+    m, n = len(x), len(y)
+    if m - n > most:
+        return most + 1
+    same = np.flatnonzero(x[:n] != y)
+    if not len(same):
+        return m - n
+    head = int(same[0])
+    tail = int(np.argmax((x[m - n + head :] != y[head:])[::-1]))
+    x, y = x[head : m - tail].tolist(), y[head : n - tail].tolist()
+    m, n, most = len(x), len(y), min(most, m)
+    if not n or most >= m:
+        return m if not n else _plain_edits(x, y)
+    at: dict[int, int] = {}
+    for i, w in enumerate(x):
+        at[w] = at.get(w, 0) | 1 << i
+    full, below = (1 << 2 * most + 1) - 1, 2 * most
+    up, down, d = ((1 << most + 1) - 1) << most, 0, most
+    for j, w in enumerate(y, 1):
+        hit, shift = at.get(w, 0), j - most - 1
+        hit = (hit >> shift if shift >= 0 else hit << -shift) & full
+        level = ((((hit & up) + up) ^ up) | hit | down) & full
+        right, left = down | full & ~(level | up), level & up
+        if j + most <= m:
+            d += not level >> below & 1
+            if d > 2 * most - m + n:
+                return most + 1
+        else:
+            row = m - j + most
+            d += (right >> row & 1) - (left >> row & 1)
+        level >>= 1
+        up, down = left | full & ~(level | right), level & right
+    return d
+
+
+def _plain_edits(x: list, y: list) -> int:
+    """The same for short texts, row by row."""
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(last + (a != b), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def word_similarity(x: np.ndarray, y: np.ndarray, alike: float = ALIKE) -> float:
+    """Edit similarity of two sequences of words; 0 if it is below ``alike``."""
+    size = max(len(x), len(y))
+    most = int((1 - alike) * size + 1e-9)
+    d = edits(x, y, most) if size else 0
+    return 1 - d / size if size and d <= most else 0.0
+
+
+def compare(lead: tuple, x: tuple, partner: int, rank: np.ndarray, alike: float = ALIKE, loose: float = LOOSE) -> tuple[bool, bool, np.ndarray]:
+    """Whether ``x`` (words, shingles) is like its leader, whether it would be in another order, and the shingles by which it is dealt on; partners have ``partner`` shingles at least."""
+    (lead_words, lead), (words, x) = lead, x
     least = _least(len(lead), len(x), alike)
     common, i, j = np.intersect1d(lead, x, assume_unique=True, return_indices=True)
     m = _chain(i, j, max(len(lead), len(x)) - least) if len(common) >= least else 0
@@ -154,8 +231,9 @@ def compare(lead: np.ndarray, x: np.ndarray, partner: int, rank: np.ndarray, ali
     own[j] = False
     new = x[own]
     new = new[np.lexsort((new, rank[new >> _SLOT_SHIFT]))]
-    need = max(1, _least(len(x), max(partner, int(np.ceil(alike * len(x) - 1e-9))), alike) - len(common))
-    return m >= least, len(common) >= least, new[: max(0, len(new) - need + 1)]
+    need = max(1, _least(len(x), max(partner, int(np.ceil(loose * len(x) - 1e-9))), loose) - len(common))
+    found = m >= least or len(common) > 0 and word_similarity(lead_words, words, alike) > 0
+    return found, len(common) >= least, new[: max(0, len(new) - need + 1)]
 
 
 def _ranks(words: DataFrame) -> np.ndarray:
@@ -187,72 +265,93 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 counts = np.where(np.diff(first) > 0, values.shape[1], 0)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), kernels.lists(values.ravel(), np.concatenate(([0], np.cumsum(counts))), pa.int64()), pa.array(np.diff(first))], names=["doc_id", "key", "sketch", "size"])
 
-    return docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("key")).mapInArrow(work, "doc_id bigint, key binary, sketch array<bigint>, size bigint")
+    return docs.select("doc_id", "text", _key().alias("key")).mapInArrow(work, "doc_id bigint, key binary, sketch array<bigint>, size bigint")
+
+
+def _key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("string")))
 
 
 def _word_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and its words as packed 32-bit hashes."""
+    """node and its words as packed 32-bit hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in kernels.utf8_slices(batch["text"]):
                 hashes, at = kernels.words(data, offsets)
                 small = (hashes >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array([small[i:j].tobytes() for i, j in zip(at, at[1:])], type=pa.binary())], names=["doc_id", "words"])
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array([small[i:j].tobytes() for i, j in zip(at, at[1:])], type=pa.binary())], names=["node", "words"])
 
-    return docs.mapInArrow(work, "doc_id bigint, words binary")
+    return docs.select("node", "text").mapInArrow(work, "node bigint, words binary")
 
 
 def _grams(words: bytes) -> np.ndarray:
-    w = np.frombuffer(words, dtype="<u4").astype(np.uint64)
-    return shingles(kernels.mix(w), np.array([0, len(w)]))[0]
+    return _both(words)[1]
+
+
+def _both(words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    w = np.frombuffer(words, dtype="<u4")
+    return w, shingles(kernels.mix(w.astype(np.uint64)), np.array([0, len(w)]))[0]
 
 
 def _compared(stars: DataFrame, words: DataFrame, rank, alike: float) -> DataFrame:
-    """``stars`` (lead, doc_id, partner) with whether their texts are alike, and the keys of the next round."""
-    both = stars.join(words.select("doc_id", F.col("words").alias("x")), "doc_id").join(words.select(F.col("doc_id").alias("lead"), F.col("words").alias("of_lead")), "lead")
+    """``stars`` (lead, node, partner) with whether their texts are alike, and the keys of the next round.
+
+    The words of a leader go to as many tasks as its members are dealt to.
+    """
+    stars = stars.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    leads = stars.select("lead", "salt").distinct().join(words.select(F.col("node").alias("lead"), F.col("words").alias("of_lead")), "lead")
+    both = stars.join(words.select("node", F.col("words").alias("x")), "node").join(leads, ["lead", "salt"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = grams = None
+        last = one = None
         for batch in batches:
             found, near, keys = [], [], []
             for lead, partner, of_lead, x in zip(batch["lead"].to_pylist(), batch["partner"].to_pylist(), batch["of_lead"], batch["x"]):
                 if lead != last:
-                    last, grams = lead, _grams(of_lead.as_buffer())
-                one, enough, more = compare(grams, _grams(x.as_buffer()), partner, rank.value, alike)
-                found.append(one)
+                    last, one = lead, _both(of_lead.as_buffer())
+                like, enough, more = compare(one, _both(x.as_buffer()), partner, rank.value, alike)
+                found.append(like)
                 near.append(enough)
                 keys.append(more.view(np.int64))
             at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch["lead"], batch["doc_id"], pa.array(found, type=pa.bool_()), pa.array(near, type=pa.bool_()), kernels.lists(flat, at, pa.int64())], names=["lead", "doc_id", "alike", "near", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["lead"], batch["node"], pa.array(found, type=pa.bool_()), pa.array(near, type=pa.bool_()), kernels.lists(flat, at, pa.int64())], names=["lead", "node", "alike", "near", "keys"])
 
-    return both.select("lead", "doc_id", "partner", "of_lead", "x").mapInArrow(work, "lead bigint, doc_id bigint, alike boolean, near boolean, keys array<bigint>")
+    return both.select("lead", "node", "partner", "of_lead", "x").mapInArrow(work, "lead bigint, node bigint, alike boolean, near boolean, keys array<bigint>")
 
 
 def _stars(members: DataFrame, order) -> DataFrame:
-    """lead (the member of a bucket that is first in ``order``), doc_id and size of the other members."""
-    leads = members.groupBy("bucket").agg(F.min_by("doc_id", order).alias("lead"))
-    return workspace.materialize(members.join(leads, "bucket").filter("lead <> doc_id").select("lead", "doc_id", "size").distinct(), "stars")
+    """lead (the member of a bucket that is first in ``order``), node and size of the other members."""
+    leads = members.groupBy("bucket").agg(F.min_by("node", order).alias("lead"))
+    return workspace.materialize(members.join(leads, "bucket").filter("lead <> node").select("lead", "node", "size").distinct(), "stars")
 
 
 def _links(tested: DataFrame) -> DataFrame:
-    return tested.filter("alike").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
+    return tested.filter("alike").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
 
 
 def _mixed(dealt: DataFrame, sizes: DataFrame) -> DataFrame:
-    """bucket, doc_id and size of the buckets of ``dealt`` (bucket, doc_id, part) that hold different parts."""
+    """bucket, node and size of the buckets of ``dealt`` (bucket, node, part) that hold different parts."""
     mixed = dealt.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
-    return workspace.materialize(dealt.join(mixed, "bucket", "left_semi").select("bucket", "doc_id").distinct().join(sizes, "doc_id"), "members")
+    return workspace.materialize(dealt.join(mixed, "bucket", "left_semi").select("bucket", "node").distinct().join(sizes, "node"), "members")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
     """node, component (its smallest node) of the graph with ``edges`` (a, b): smallest labels spread along edges and jump."""
     two = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     two = workspace.materialize(two, "edges")
-    labels = workspace.materialize(two.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    near = two.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count("*").alias("n"))
+    labels = workspace.materialize(near.select("node", F.least("node", "least").alias("component"), "n"), "labels")
+    widest = labels.agg(F.max("n")).first()[0] or 0
+    labels = labels.select("node", "component")
+    if widest > degree:
+        two = workspace.materialize(two.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(-(-widest // degree)))), "edges")
+        spots = workspace.materialize(two.select("b", "salt").distinct(), "spots")
     while True:
-        heard = two.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        told = labels.select(F.col("node").alias("b"), "component")
+        told, on = (told, ["b"]) if widest <= degree else (spots.join(told, "b"), ["b", "salt"])
+        heard = two.join(told, on).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         best = labels.join(heard, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("next"))
         new = workspace.materialize(best.join(jump, "c").select("node", "was", F.least("c", "next").alias("component")), "labels")
@@ -261,68 +360,98 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """A row per row of ``docs``: doc_id, class_id, n_copies (rows of equal text), n_links (verified links of its text)."""
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = workspace.materialize(_sketched(plain), "sketched")
+def _texts(rows: DataFrame) -> DataFrame:
+    """key, first (the smallest doc_id), n_copies and node (first, or a hash where it names several texts or none) of each text."""
     texts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     texts = workspace.materialize(texts, "texts")
-    one_each = rows.select("doc_id", "key", "sketch", "size").join(texts.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"])
-    met = one_each.select("doc_id", "size", F.explode("sketch").alias("bucket"))
-    full = met.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("bucket")
-    members = workspace.materialize(met.join(full, "bucket").select("bucket", "doc_id", "size").distinct(), "members")
-
-    sizes = members.select("doc_id", "size").distinct()
-    ids = sizes.select("doc_id")
-    words = workspace.materialize(_word_rows(plain.join(workspace.broadcast_if_small(ids, SMALL), "doc_id", "left_semi")), "words")
+    shared = texts.filter(F.col("first").isNotNull()).groupBy("first").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("first").alias("one"))
+    shared = workspace.broadcast_if_small(workspace.materialize(shared, "shared"), SMALL)
+    own = F.col("first").isNotNull() & F.col("one").isNull()
+    return texts.join(shared, F.col("first") == F.col("one"), "left").select("key", "first", "n_copies", F.when(own, F.col("first")).otherwise(F.xxhash64("key")).alias("node"))
+
+
+def _classes(docs: DataFrame, alike: float) -> DataFrame:
+    """doc_id and key of every row of ``docs``, and first, n_copies and class_id of its text."""
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = workspace.materialize(_sketched(plain), "sketched")
+    texts = _texts(rows)
+    names = texts.select("key", "node", F.col("first").alias("_first"))
+    one_each = rows.join(names, (F.col("doc_id").eqNullSafe(F.col("_first"))) & (rows["key"] == names["key"])).select("node", "sketch", "size")
+    met = one_each.select("node", "size", F.explode("sketch").alias("bucket"))
+    full = met.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("bucket")
+    members = workspace.materialize(met.join(full, "bucket").select("bucket", "node", "size").distinct(), "members")
+
+    sizes = workspace.materialize(members.select("node", "size").distinct(), "sizes")
+    asked = names.join(sizes.select("node"), "node", "left_semi").select(F.col("key").alias("_key"), "node", "_first")
+    asked = workspace.broadcast_if_small(workspace.materialize(asked, "asked"), SMALL)
+    first_rows = plain.withColumn("_k", _key()).join(asked, (F.col("_k") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    words = workspace.materialize(_word_rows(first_rows).dropDuplicates(["node"]), "words")
     n_texts = texts.count()
     rank = plain.sparkSession.sparkContext.broadcast(_ranks(words))
     wide = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    weight = members.join(wide, "bucket").groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    stars = _stars(members.join(weight, "doc_id"), F.struct(-F.col("weight"), F.xxhash64("doc_id"), "doc_id"))
-    edges = workspace.materialize(_links(_compared(stars.select("lead", "doc_id", F.lit(1).cast("bigint").alias("partner")), words, rank, alike)).distinct(), "links")
+    weight = members.join(wide, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+    stars = _stars(members.join(weight, "node"), F.struct(-F.col("weight"), F.xxhash64("node"), "node"))
+    edges = workspace.materialize(_links(_compared(stars.select("lead", "node", F.lit(1).cast("bigint").alias("partner")), words, rank, alike)).distinct(), "links")
     parts = components(edges)
-    members = _mixed(members.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")), sizes)
+    members = _mixed(members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")), sizes)
     turned = []
     while True:
-        stars = _stars(members, F.struct("size", F.xxhash64("doc_id"), "doc_id"))
-        shortest = stars.groupBy("lead").agg(F.min("size").alias("partner"))
-        tested = workspace.materialize(_compared(stars.select("lead", "doc_id").join(shortest, "lead"), words, rank, alike), "tested")
+        stars = _stars(members, F.struct("size", F.xxhash64("node"), "node"))
+        shortest = workspace.broadcast_if_small(stars.groupBy("lead").agg(F.min("size").alias("partner")), SMALL)
+        tested = workspace.materialize(_compared(stars.select("lead", "node").join(shortest, "lead"), words, rank, alike), "tested")
         edges = workspace.materialize(edges.unionByName(_links(tested)).distinct(), "links")
         parts = components(edges)
         otherwise = tested.filter("near and not alike").select("lead").distinct()
         if not otherwise.isEmpty():
-            turned.append(tested.filter("near").join(otherwise, "lead", "left_semi").select(F.xxhash64("lead", F.lit(len(turned))).alias("bucket"), "doc_id"))
-        failed = tested.filter("not alike").select("lead").distinct()
-        dealt = tested.join(failed, "lead", "left_semi").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(F.coalesce("component", "doc_id").alias("part"), "doc_id", F.explode("keys").alias("key"), "lead")
-        members = _mixed(dealt.select(F.xxhash64("lead", "key").alias("bucket"), "doc_id", "part"), sizes)
-        own = members.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+            turned.append(tested.filter("near").join(otherwise, "lead", "left_semi").select(F.xxhash64("lead", F.lit(len(turned))).alias("bucket"), "node"))
+        failed = workspace.broadcast_if_small(tested.filter("not alike").select("lead").distinct(), SMALL)
+        dealt = tested.join(failed, "lead", "left_semi").join(parts, "node", "left").select(F.coalesce("component", "node").alias("part"), "node", F.explode("keys").alias("key"), "lead")
+        members = _mixed(dealt.select(F.xxhash64("lead", "key").alias("bucket"), "node", "part"), sizes)
+        own = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
         left = own.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not left:
             break
         if left <= PAIRS * n_texts:  # few enough to compare all that are left, across classes
-            turned.append(members.select("bucket", "doc_id"))
+            turned.append(members.select("bucket", "node"))
             break
     if turned:
-        own = reduce(DataFrame.unionByName, turned).join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-        other = own.select("bucket", F.col("doc_id").alias("lead"), F.col("part").alias("of_lead"))
-        pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "doc_id", F.lit(1).cast("bigint").alias("partner")).distinct()
+        own = reduce(DataFrame.unionByName, turned).join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+        other = own.select("bucket", F.col("node").alias("lead"), F.col("part").alias("of_lead"))
+        pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "node", F.lit(1).cast("bigint").alias("partner")).distinct()
         links = _links(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike))
         edges = workspace.materialize(edges.unionByName(links).distinct(), "links")
         parts = components(edges)
 
-    degree = edges.select(F.col("a").alias("first")).unionAll(edges.select(F.col("b").alias("first"))).groupBy("first").agg(F.count("*").alias("n_links"))
-    named = texts.join(parts.select(F.col("node").alias("first"), "component"), "first", "left").join(degree, "first", "left")
-    named = named.select("key", F.coalesce("component", "first").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    out = rows.select("doc_id", "key").join(named, "key", "left")
+    named = texts.join(parts, "node", "left").select("key", "first", "n_copies", F.coalesce("component", "node").alias("component"))
+    named = workspace.materialize(named, "named")
+    lowest = named.groupBy("component").agg(F.min("first").alias("class_id"), F.min_by(F.col("key"), F.struct(F.col("first").isNull(), "first", "key")).alias("winner"))
+    named = named.join(lowest, "component").select("key", "first", "n_copies", "class_id", "winner")
+    return rows.select("doc_id", "key").join(named, "key", "left")
+
+
+def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """A row per row of ``docs``: doc_id, class_id, n_copies (rows of equal text)."""
     alone = F.col("key").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("bigint").alias("n_copies"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+    return _classes(docs, alike).select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("bigint").alias("n_copies"))
 
 
 def keep_first(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """``docs`` without the documents that are not the first of their class."""
-    found = workspace.materialize(classes(docs, alike), "classes")
-    gone = found.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    out = docs.join(workspace.broadcast_if_small(gone, SMALL), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count().filter("count > 1")
-    return out if repeated.isEmpty() else out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One row of each class of ``docs``: of the text with the smallest doc_id (the smallest md5 among several), a row with that doc_id.
+
+    Rows with null text are kept. Rows go by their text, so different texts that share a
+    doc_id, or have none, do not hide each other.
+    """
+    found = workspace.materialize(_classes(docs, alike).filter(F.col("key").isNotNull()), "classes")
+    goes = (F.col("winner") != F.col("key")) | ~F.col("doc_id").eqNullSafe(F.col("first"))
+    gone = found.filter(goes).select(F.col("key").alias("_gone_key"), F.col("doc_id").alias("_gone_id")).distinct()
+    packed = docs.select(F.struct(*workspace.own(docs)).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), _key().alias("_text"))
+    gone = workspace.broadcast_if_small(workspace.materialize(gone, "gone"), SMALL)
+    out = packed.join(gone, (F.col("_text") == F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    again = found.filter(~goes).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_again"))
+    again = workspace.broadcast_if_small(workspace.materialize(again, "again"), SMALL)
+    marked = out.join(again, F.col("_text") == F.col("_again"), "left")
+    once = marked.filter(F.col("_again").isNull()).select("_row")
+    repeated = marked.filter(F.col("_again").isNotNull())
+    if not again.isEmpty():
+        once = once.unionByName(repeated.groupBy("_again").agg(F.first("_row").alias("_row")).select("_row"))
+    return once.select(*workspace.unpacked(once, "_row"))

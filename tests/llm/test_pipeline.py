@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from tessera.llm import extendible, langid, mixing, queries
 
-from .test_small import jaccard_classes, word_list
+from .test_small import alike_classes, word_list
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def test_pipeline(spark):
     table = queries.table(spark, SF, "documents")
     told = {r["doc_id"]: r for r in langid.identify(table).collect()}
     docs = [r for r in table.collect() if told[r["doc_id"]]["lang_pred"] != "und" and told[r["doc_id"]]["score"] >= langid.LEAST]
-    classes = jaccard_classes([(r["doc_id"], r["text"]) for r in docs])
+    classes = alike_classes([(r["doc_id"], r["text"]) for r in docs])
     docs = [r for r in docs if classes[r["doc_id"]] == r["doc_id"]]
     windows = {}
     for r in queries.table(spark, SF, "benchmark").collect():

@@ -321,10 +321,20 @@ def _compared(stars: DataFrame, words: DataFrame, rank, alike: float) -> DataFra
     return both.select("lead", "node", "partner", "of_lead", "x").mapInArrow(work, "lead bigint, node bigint, alike boolean, near boolean, keys array<bigint>")
 
 
+def _of_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` joined with ``facts`` (a row for a bucket, with its number n of rows); the few buckets with more rows than a fourth of a task's share are sent to all tasks."""
+    facts = workspace.materialize(facts, "buckets")
+    parts = 4 * workspace.partitions(rows.sparkSession)
+    most = max(1000, (facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // parts)
+    wide = F.broadcast(facts.filter(F.col("n") > most))  # at most ``parts`` rows
+    plain = rows.join(wide.select("bucket"), "bucket", "left_anti").join(facts.filter(F.col("n") <= most), "bucket")
+    return rows.join(wide, "bucket").unionByName(plain)
+
+
 def _stars(members: DataFrame, order) -> DataFrame:
     """lead (the member of a bucket that is first in ``order``), node and size of the other members."""
-    leads = members.groupBy("bucket").agg(F.min_by("node", order).alias("lead"))
-    return workspace.materialize(members.join(leads, "bucket").filter("lead <> node").select("lead", "node", "size").distinct(), "stars")
+    leads = members.groupBy("bucket").agg(F.min_by("node", order).alias("lead"), F.count("*").alias("n"))
+    return _of_bucket(members, leads).filter("lead <> node").select("lead", "node", "size").distinct()
 
 
 def _links(tested: DataFrame) -> DataFrame:
@@ -333,8 +343,8 @@ def _links(tested: DataFrame) -> DataFrame:
 
 def _mixed(dealt: DataFrame, sizes: DataFrame) -> DataFrame:
     """bucket, node and size of the buckets of ``dealt`` (bucket, node, part) that hold different parts."""
-    mixed = dealt.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
-    return workspace.materialize(dealt.join(mixed, "bucket", "left_semi").select("bucket", "node").distinct().join(sizes, "node"), "members")
+    mixed = dealt.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", "n")
+    return workspace.materialize(_of_bucket(dealt, mixed).select("bucket", "node").distinct().join(sizes, "node"), "members")
 
 
 def components(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
@@ -360,6 +370,24 @@ def components(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
             return labels
 
 
+def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) with those merged that ``links`` (a, b) connect; a node without a row is a part of its own.
+
+    Links are taken between parts, so a large group costs as many as it has parts.
+    """
+    if parts is None:
+        return components(links)
+    small = workspace.broadcast_if_small(parts, SMALL)
+    of_a, of_b = (small.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab")
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    between = workspace.materialize(between.filter("a <> b").distinct(), "links")
+    if between.isEmpty():
+        return parts
+    found = workspace.broadcast_if_small(components(between), SMALL)
+    old = parts.join(found.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return workspace.materialize(old.unionByName(found.join(parts, "node", "left_anti").select("node", "component")), "parts")
+
+
 def _texts(rows: DataFrame) -> DataFrame:
     """key, first (the smallest doc_id), n_copies and node (first, or a hash where it names several texts or none) of each text."""
     texts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
@@ -389,18 +417,19 @@ def _classes(docs: DataFrame, alike: float) -> DataFrame:
     n_texts = texts.count()
     rank = plain.sparkSession.sparkContext.broadcast(_ranks(words))
     wide = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    weight = members.join(wide, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+    weight = workspace.materialize(_of_bucket(members, wide).groupBy("node").agg(F.sum("n").alias("weight")), "weight")
     stars = _stars(members.join(weight, "node"), F.struct(-F.col("weight"), F.xxhash64("node"), "node"))
-    edges = workspace.materialize(_links(_compared(stars.select("lead", "node", F.lit(1).cast("bigint").alias("partner")), words, rank, alike)).distinct(), "links")
-    parts = components(edges)
+    # a text is first compared with the heaviest of its leaders only
+    heavy = stars.join(weight.select(F.col("node").alias("lead"), "weight"), "lead").groupBy("node").agg(F.max_by("lead", F.struct("weight", F.xxhash64("lead"), "lead")).alias("lead"))
+    heavy = workspace.materialize(heavy.select("lead", "node", F.lit(1).cast("bigint").alias("partner")), "stars")
+    parts = _merged(None, workspace.materialize(_links(_compared(heavy, words, rank, alike)).distinct(), "links"))
     members = _mixed(members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")), sizes)
     turned = []
     while True:
-        stars = _stars(members, F.struct("size", F.xxhash64("node"), "node"))
+        stars = workspace.materialize(_stars(members, F.struct("size", F.xxhash64("node"), "node")), "stars")
         shortest = workspace.broadcast_if_small(stars.groupBy("lead").agg(F.min("size").alias("partner")), SMALL)
         tested = workspace.materialize(_compared(stars.select("lead", "node").join(shortest, "lead"), words, rank, alike), "tested")
-        edges = workspace.materialize(edges.unionByName(_links(tested)).distinct(), "links")
-        parts = components(edges)
+        parts = _merged(parts, _links(tested))
         otherwise = tested.filter("near and not alike").select("lead").distinct()
         if not otherwise.isEmpty():
             turned.append(tested.filter("near").join(otherwise, "lead", "left_semi").select(F.xxhash64("lead", F.lit(len(turned))).alias("bucket"), "node"))
@@ -418,9 +447,7 @@ def _classes(docs: DataFrame, alike: float) -> DataFrame:
         own = reduce(DataFrame.unionByName, turned).join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
         other = own.select("bucket", F.col("node").alias("lead"), F.col("part").alias("of_lead"))
         pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "node", F.lit(1).cast("bigint").alias("partner")).distinct()
-        links = _links(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike))
-        edges = workspace.materialize(edges.unionByName(links).distinct(), "links")
-        parts = components(edges)
+        parts = _merged(parts, workspace.materialize(_links(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike)), "links"))
 
     named = texts.join(parts, "node", "left").select("key", "first", "n_copies", F.coalesce("component", "node").alias("component"))
     named = workspace.materialize(named, "named")

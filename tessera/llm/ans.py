@@ -4,14 +4,16 @@ One frequency table, scaled to a power of two, serves all blocks. A block holds
 whole documents; its ids go to independent interleaved coder states ("lanes"),
 id t to lane t mod lanes. Every so many steps it keeps the states and the place
 in the word stream, so a reader can begin there, and checksums of the ids and of
-all that follows the header.
+the block itself.
 
+A folder holds all that a reader needs: ``table`` (the frequencies) and ``blocks``.
 Block bytes, little-endian: header (HEAD), checkpoints (place u64, states u64 x
 lanes, in ascending step), words u32. The blocks are rows of a Parquet table
 written by Spark, so a lost task is written again under the commit protocol.
 
 Null text: no ids but the end id. A null doc_id sorts first. Repeated rows stay
-repeated. An empty table gives an empty table. Other columns are ignored.
+repeated. An empty table gives an empty table. Other columns are ignored. A very
+long text is a block of its own; it takes some 20 times the memory of its ids.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from . import kernels, workspace
 from .tokens import encoder
 
-HEAD = struct.Struct("<4sBBHIIQQIII")  # magic, version, bits, lanes, steps between checkpoints, checkpoints, ids, words, table crc, ids crc, crc of checkpoints and words
-MAGIC, VERSION = b"RNSB", 1
+HEAD = struct.Struct("<4sBBHIIQQIII")  # magic, version, bits, lanes, steps between checkpoints, checkpoints, ids, words, table crc, ids crc, crc of the header before it and of all after it
+MAGIC, VERSION = b"RNSB", 2
+HEAD_MARKS = struct.calcsize("<4sBBHI")  # where the header says how many checkpoints there are
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 
@@ -103,18 +106,19 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = 1024, every: int =
             marks.append((written, x.copy()))
     words = np.concatenate(out[::-1]) if out else np.zeros(0, dtype=np.uint32)
     body = b"".join([*(struct.pack("<Q", written - w) + x.astype("<u8").tobytes() for w, x in reversed(marks)), words.astype("<u4").tobytes()])
-    head = HEAD.pack(MAGIC, VERSION, table.bits, lanes, every, len(marks), n, len(words), table.crc, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body))
-    return head + body
+    head = HEAD.pack(MAGIC, VERSION, table.bits, lanes, every, len(marks), n, len(words), table.crc, zlib.crc32(ids.astype("<u4").tobytes()), 0)[:-4]
+    return head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def decode_block(block: bytes, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids of a block, or of the spans between checkpoints ``first`` and ``last``."""
     magic, version, bits_, lanes, every, n_marks, n, n_words, table_crc, ids_crc, body_crc = HEAD.unpack_from(block)
-    if magic != MAGIC or version != VERSION or table_crc != table.crc:
-        raise ValueError("not a block of this format and table")
+    view = memoryview(block)
+    if magic != MAGIC or version != VERSION or zlib.crc32(view[HEAD.size :], zlib.crc32(view[: HEAD.size - 4])) != body_crc:
+        raise ValueError("damaged block, or not one of this format")
+    if table_crc != table.crc:
+        raise ValueError("a block of another table")
     at = HEAD.size + n_marks * (8 + 8 * lanes)
-    if len(block) != at + 4 * n_words or zlib.crc32(memoryview(block)[HEAD.size :]) != body_crc:
-        raise ValueError("damaged block: checkpoints or words")
     words = np.frombuffer(block, dtype="<u4", count=n_words, offset=at)
     last = n_marks if last is None else min(last, n_marks)
     if first >= last:
@@ -174,8 +178,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 BLOCKS = "part int, block int, base bigint, n_tokens bigint, doc_ids array<bigint>, doc_lens array<bigint>, payload binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 1 << 20, bits: int = 20) -> Table:
-    """Encode ``docs`` in ascending doc_id order to a table of blocks at ``path``; returns the frequency table.
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 1 << 20, bits: int = 20) -> None:
+    """Encode ``docs`` in ascending doc_id order to the folder ``path``.
 
     The ids are counted over all documents first (at most one row per id of the
     vocabulary comes to the driver), kept as a packed table, dealt by doc_id
@@ -186,6 +190,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
     seen = packed.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("id")).agg(F.sum("x.counts").alias("n")).toArrow()
     table = Table.scaled(seen["id"].to_numpy(), seen["n"].to_numpy(), bits)
     total = int(seen["n"].to_numpy().sum()) if seen.num_rows else 0
+    kept = spark.createDataFrame(pa.table({"id": pa.array(table.ids), "freq": pa.array(table.freqs)}), "id bigint, freq bigint") if len(table.ids) else spark.createDataFrame([], "id bigint, freq bigint")
+    kept.withColumn("bits", F.lit(table.bits)).coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +214,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
 
     n = max(1, -(-total // (8 * block_ids)), min(workspace.partitions(spark), -(-total // block_ids)))
     dealt = packed.select("doc_id", "width", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    dealt.mapInArrow(work, BLOCKS).write.option("compression", "none").parquet(path)
-    return table
+    dealt.mapInArrow(work, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+
+
+def read_table(spark: SparkSession, path: str) -> Table:
+    """The frequency table of the folder ``path``: a row per id of the vocabulary that occurs."""
+    got = spark.read.schema("id bigint, freq bigint, bits int").parquet(f"{path}/table").toArrow().sort_by("id")
+    return Table(got["id"].to_numpy(), got["freq"].to_numpy(), got["bits"][0].as_py() if got.num_rows else 20)
 
 
 def _row(part, block, base, waiting, ids, table) -> pa.RecordBatch:
@@ -219,15 +230,30 @@ def _row(part, block, base, waiting, ids, table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, kinds)], names=["part", "block", "base", "n_tokens", "doc_ids", "doc_lens", "payload"])
 
 
-def read(spark: SparkSession, path: str, table: Table) -> DataFrame:
-    """A row per document of the blocks at ``path``: doc_id, start, n_tokens, ids_crc32, ids (packed little-endian u32)."""
-    blocks = spark.read.schema(BLOCKS).parquet(path)
-    return _decoded(blocks, table, True)
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A row per document of the folder ``path``: doc_id, start, n_tokens, ids_crc32, ids (packed little-endian u32)."""
+    return _decoded(spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), read_table(spark, path), True)
 
 
-def read_digests(spark: SparkSession, path: str, table: Table) -> DataFrame:
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """As ``read``, without the ids themselves."""
-    return _decoded(spark.read.schema(BLOCKS).parquet(path), table, False)
+    return _decoded(spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), read_table(spark, path), False)
+
+
+def read_spans(spark: SparkSession, path: str) -> DataFrame:
+    """A row per span between checkpoints: part, block, span, ids (packed u32). Spans are decoded apart, by as many tasks as there are."""
+    shared = spark.sparkContext.broadcast(read_table(spark, path))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block, span, payload in zip(*(batch[c].to_pylist() for c in ("part", "block", "span", "payload"))):
+                ids = decode_block(payload, shared.value, span, span + 1).astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in ((part, pa.int32()), (block, pa.int32()), (span, pa.int32()), (ids, pa.binary()))], names=["part", "block", "span", "ids"])
+
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    n = F.conv(F.hex(F.reverse(F.substring("payload", HEAD_MARKS + 1, 4))), 16, 10).cast("int")
+    spans = blocks.select("part", "block", "payload", F.explode(F.sequence(F.lit(0), n - 1)).alias("span"))
+    return spans.repartition(workspace.partitions(spark), "part", "block", "span").mapInArrow(work, "part int, block int, span int, ids binary")
 
 
 def _decoded(blocks: DataFrame, table: Table, with_ids: bool) -> DataFrame:

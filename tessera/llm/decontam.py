@@ -15,7 +15,9 @@ none, is one window. Windows do not go across documents.
 
 Null or empty text: no words, no hits. Repeated rows are rows of their own.
 Items that share an id are one item; a null item_id is named 'null'; items
-without words match nothing. Empty tables: no rows, or no hits.
+without words match nothing. A very long text is a segment of its own, of some 30
+times the memory of its bytes. Other columns are ignored, or kept as they are. Empty
+tables: no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from . import kernels, workspace
 INDEX = "segment string, doc_ids array<bigint>, word_at array<int>, terms binary, counts binary, positions binary"
 FOUND = "segment string, row int, doc_id bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<string>"
 #: Bytes of item texts that are sent to the executors at once; more go in several rounds.
-ROUND_BYTES = 16 << 20
+ROUND_BYTES = 4 << 20
 #: Ids that are broadcast; more are joined by shuffle.
 SMALL = 200_000
 
@@ -62,25 +64,33 @@ class Phrases:
     """Different windows of items as rows of term numbers, and the items of each window."""
 
     def __init__(self, items: list[str], texts: pa.Array, window: int):
-        names = sorted(set(items))
-        number = {x: k for k, x in enumerate(names)}
-        rows: dict[tuple, set[int]] = {}
-        row = 0
+        self.names = sorted(set(items))
+        number = {x: k for k, x in enumerate(self.names)}
+        held, grids, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros((0, window), dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        of = np.array([number[x] for x in items], dtype=np.int64)
         for a, b, data, offsets in kernels.utf8_slices(texts):
             hashes, at = kernels.words(data, offsets)
-            for i, j in zip(at, at[1:]):
-                own = hashes[i:j].tolist()
-                for k in range(max(1, len(own) - window + 1)) if own else ():
-                    rows.setdefault(tuple(own[k : k + window]), set()).add(number[items[row]])
-                row += 1
-        self.names = names
-        self.lengths = np.array([len(x) for x in rows], dtype=np.int64)
-        flat = np.array([t for x in rows for t in x], dtype=np.uint64)
-        self.terms, which = np.unique(flat, return_inverse=True)
-        self.grid = np.full((len(rows), window), -1, dtype=np.int64)
-        self.grid[np.arange(window) < self.lengths[:, None]] = which
-        self.item_at = np.concatenate(([0], np.cumsum([len(x) for x in rows.values()]))).astype(np.int64)
-        self.items = np.array([k for x in rows.values() for k in sorted(x)], dtype=np.int64)
+            n_words = np.diff(at)
+            counts = np.where(n_words > 0, np.maximum(n_words - window + 1, 1), 0)
+            where, size = kernels.spread(at[:-1], counts), np.repeat(np.minimum(n_words, window), counts)
+            grid = np.concatenate((hashes, np.zeros(window, dtype=np.uint64)))[where[:, None] + np.arange(window)] if len(where) else grids[0]
+            grid[np.arange(window) >= size[:, None]] = 0
+            held.append(np.repeat(of[a:b], counts))
+            grids.append(grid)
+            sizes.append(size)
+        held, grid, size = (np.concatenate(x) for x in (held, grids, sizes))
+        key = size.astype(np.uint64)
+        for c in range(window):
+            key = kernels.mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, c])
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        grid, self.lengths = grid[first], size[first]
+        filled = np.arange(window) < self.lengths[:, None]
+        self.terms, rank = np.unique(grid[filled], return_inverse=True)
+        self.grid = np.full(grid.shape, -1, dtype=np.int64)
+        self.grid[filled] = rank
+        pair = np.unique(which * max(1, len(self.names)) + held)
+        self.items = pair % max(1, len(self.names))
+        self.item_at = np.searchsorted(pair // max(1, len(self.names)), np.arange(len(first) + 1))
 
 
 def occurrences(terms, counts, positions, word_at, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -189,3 +199,20 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = 8, least: int =
     packed = docs.select(F.struct(*workspace.own(docs)).alias("_row"), key.alias("_gone"))
     out = packed.join(workspace.broadcast_if_small(gone, SMALL), "_gone", "left_anti")
     return out.select(*workspace.unpacked(out, "_row"))
+
+
+def sql(window: int = 8, least: int = 2) -> str:
+    """The digest of ``documents`` and ``benchmark`` in DuckDB's SQL."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"coalesce(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), [])"
+    return f"""
+with d as materialized (select row_number() over () as r, doc_id, {words} as w from documents),
+i as (select coalesce(cast(item_id as varchar), 'null') as item, {words} as w from benchmark),
+p as materialized (select distinct item, least(len(w), {window}) as n, array_to_string(w[k : k + {window - 1}], ' ') as p from (select *, unnest(range(1, greatest(len(w) - {window} + 1, 1) + 1)) as k from i where len(w) > 0)),
+n as (select distinct n from p),
+s as (select r, n, k, array_to_string(w[k : k + n - 1], ' ') as p from (select r, n, w, unnest(range(1, len(w) - n + 2)) as k from d, n where len(w) >= n)),
+h as materialized (select r, k, s.n, item from s join p using (p)),
+c as (select r, count(distinct place) as n_hit from (select r, unnest(range(k, k + n)) as place from h) group by r),
+t as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from h) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= {least} as contaminated
+from d left join c using (r) left join t using (r)"""

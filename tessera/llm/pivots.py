@@ -3,16 +3,20 @@
 Every vector keeps its distances to the pivots, chosen farthest first from a
 bounded sample. For a query q and a vector x the greatest difference of their
 distances to a pivot is a lower bound d of their own distance, so q.x is at most
-(|q|^2 + |x|^2 - d^2) / 2. A block's candidates are evaluated in the order of
-that bound until it is below the k-th best score found so far; the scores are
-exact integers. Queries are taken in blocks of ``QUERIES`` that are sent to all
-executors; each task returns k rows a query.
+(|q|^2 + |x|^2 - d^2) / 2. A block's vectors are put in the order of their nearest
+pivot and cut into groups of ``GROUP``; the least and greatest distance of a group
+to each pivot bound all its members at once. Groups are evaluated in the order of
+their bound, each as one matrix product for the queries of a batch that it may
+still concern, and are left out once the bound is below a query's k-th best score
+found so far; the scores are exact integers. Queries are taken in blocks of
+``QUERIES`` that are sent to all executors; each task returns k rows a query.
 
 Components become floor(256 x). Vectors that are null or hold null or non-finite
-components, and rows with a null vec_id, take no part. Shorter vectors count
-as filled with zeros. Rows with the query's vec_id are not its candidates; rows
-that share a vec_id are one query (the smallest vector) and several candidates.
-Ties go to the smaller vec_id. An empty table gives no rows.
+components, and rows with a null vec_id, take no part; nor do empty ones. Shorter
+vectors count as filled with zeros. Rows with the query's vec_id are not its
+candidates; rows that share a vec_id are one query (the smallest vector) and several
+candidates. Ties go to the smaller vec_id. Other columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 from . import workspace
 
 PIVOTS, SAMPLE, QUERIES = 32, 2000, 8192
+#: Vectors that are bounded together, and queries that are evaluated together.
+GROUP, BATCH = 256, 128
+NONE = np.iinfo(np.int64).min
 SCALE = 256
 TABLE = "n int, ids binary, vectors binary, norms binary, dists binary"
 
@@ -44,7 +51,7 @@ def _whole(column: pa.Array, dims: int) -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), e).filter(F.col("vec_id").isNotNull() & e.isNotNull() & fine)
+    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), e).filter(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & fine)
 
 
 def choose(sample: np.ndarray, number: int) -> np.ndarray:
@@ -71,7 +78,10 @@ def build(vectors: DataFrame, dims: int, number: int = PIVOTS) -> tuple[DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _whole(batch["embedding"], dims)
-            yield pa.RecordBatch.from_arrays([pa.array([len(x)], type=pa.int32()), *[pa.array([v.tobytes()], type=pa.binary()) for v in (batch["vec_id"].to_numpy().astype(np.int64), x, (x * x).sum(axis=1), _distances(x, pivots))]], names=["n", "ids", "vectors", "norms", "dists"])
+            dists, ids = _distances(x, pivots), batch["vec_id"].to_numpy().astype(np.int64)
+            order = np.argsort(dists.argmin(axis=1), kind="stable") if dists.size else np.arange(len(x))
+            x, dists, ids = x[order], dists[order], ids[order]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], type=pa.int32()), *[pa.array([v.tobytes()], type=pa.binary()) for v in (ids, x, (x * x).sum(axis=1), dists)]], names=["n", "ids", "vectors", "norms", "dists"])
 
     return workspace.materialize(vectors.mapInArrow(work, TABLE), "pivots"), pivots
 
@@ -81,46 +91,62 @@ def _open(row: dict, dims: int) -> tuple[np.ndarray, ...]:
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    most = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
-    if most * most * len(q) < 2.0**53:
-        return (x @ q).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in x], dtype=np.int64)
+    """Exact integer inner products of each row of ``x`` with each of ``q``."""
+    most = np.abs(x).max(initial=0) * np.abs(q).max(initial=0)
+    if most * x.shape[1] < 2.0**53:
+        return (x @ q.T).astype(np.int64)
+    return np.array([[sum(int(a) * int(b) for a, b in zip(row, one)) for one in q] for row in x], dtype=np.int64).reshape(len(x), len(q))
 
 
 class Best:
-    """The k best of each query so far: scores and ids."""
+    """The k best of each query so far, by descending score and ascending id; NONE stands for no score."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.scores: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * queries
-        self.ids: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * queries
-
-    def least(self, q: int) -> float:
-        return float(self.scores[q][-1]) if len(self.scores[q]) == self.k else -np.inf
+        self.scores = np.full((queries, k), NONE, dtype=np.int64)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max, dtype=np.int64)
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate((self.scores[q], scores)), np.concatenate((self.ids[q], ids))
-        order = np.lexsort((i, -s))[: self.k]
+        order = np.lexsort((i, -s.astype(np.float64) if (np.abs(s[s != NONE]) < 1 << 53).all() else [-int(v) for v in s]))[: self.k]
         self.scores[q], self.ids[q] = s[order], i[order]
 
+    def add_group(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` has a row an id and a column a query."""
+        good = (scores >= self.scores[queries, -1]) & (scores != NONE)
+        for c in np.flatnonzero(good.any(axis=0)):
+            own, named = scores[good[:, c], c], ids[good[:, c]]
+            if len(own) > 4 * self.k:
+                top = own >= np.partition(own, -self.k)[-self.k]
+                own, named = own[top], named[top]
+            self.add(queries[c], own, named)
+
 
-def search_block(best: Best, queries: tuple, block: tuple, step: int = 64) -> int:
-    """Evaluate a block's candidates for all queries; returns how many were."""
+def search_block(best: Best, queries: tuple, block: tuple, group: int = GROUP, batch: int = BATCH) -> int:
+    """Evaluate a block's groups for all queries; returns how many pairs were evaluated."""
     (q_ids, q, q_norms, q_dists), (ids, x, norms, dists), done = queries, block, 0
-    for k in range(len(q_ids)):
-        gap = np.abs(dists - q_dists[k]).max(axis=1, initial=0.0)
-        bound = (q_norms[k, 0] + norms[:, 0] - gap * gap) / 2
-        bound += 1e-9 * (np.abs(norms[:, 0]) + q_norms[k, 0]) + 0.5
-        bound[ids == q_ids[k]] = -np.inf
-        open_ = np.flatnonzero(bound >= best.least(k)) if np.isfinite(best.least(k)) else np.flatnonzero(bound > -np.inf)
-        open_ = open_[np.argsort(-bound[open_], kind="stable")]
-        for at in range(0, len(open_), step):
-            some = open_[at : at + step]
-            if bound[some[0]] < best.least(k):
-                break
-            best.add(k, products(x[some], q[k]), ids[some])
-            done += len(some)
+    if not len(ids):
+        return 0
+    starts = np.arange(0, len(ids), group)
+    near, far, longest = np.minimum.reduceat(dists, starts), np.maximum.reduceat(dists, starts), np.maximum.reduceat(norms[:, 0], starts)
+    order = np.argsort(q_dists.argmin(axis=1), kind="stable") if q_dists.size else np.arange(len(q_ids))
+    for at in range(0, len(order), batch):
+        own = order[at : at + batch]
+        gap = np.zeros((len(own), len(starts)))
+        for p in range(dists.shape[1]):
+            d = q_dists[own, p][:, None]
+            np.maximum(gap, np.maximum(d - far[:, p], near[:, p] - d), out=gap)
+        bound = (q_norms[own] + longest - gap * gap) / 2
+        bound += 1e-9 * (longest + q_norms[own]) + 0.5
+        for g in np.argsort(-bound.max(axis=0), kind="stable"):
+            open_ = own[bound[:, g] >= best.scores[own, -1]]
+            if not len(open_):
+                continue
+            some = slice(starts[g], starts[g] + group)
+            scores = products(x[some], q[open_])
+            scores[ids[some][:, None] == q_ids[open_]] = NONE
+            best.add_group(open_, scores, ids[some])
+            done += scores.size
     return done
 
 
@@ -147,8 +173,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             for batch in batches:
                 for row in batch.to_pylist():
                     search_block(best, queries, _open(row, dims))
-            sizes = [len(s) for s in best.scores]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[0], sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "vec_id", "score"])
+            found = best.scores != NONE
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[0], found.sum(axis=1))), pa.array(best.ids[found]), pa.array(best.scores[found])], names=["query_id", "vec_id", "score"])
 
         local = blocks.mapInArrow(work, "query_id bigint, vec_id bigint, score bigint")
         local = workspace.materialize(local, "best") if rounds > 1 else local
@@ -161,7 +187,7 @@ def sql(k: int = 5, every: int = 50) -> str:
     """The same for ``embeddings`` in DuckDB's SQL."""
     return f"""
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor({SCALE} * cast(x as double)) as bigint)) as e from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score from v q join v c on q.vec_id % {every} = 0 and q.vec_id <> c.vec_id),
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score from v q join v c on q.vec_id % {every} = 0 and q.vec_id <> c.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= {k}"""

@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace.table_path(spark, "rans")
-    freqs = ans.write(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
-    return ans.read_digests(spark, path, freqs)
+    ans.write(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
+    return ans.read_digests(spark, path)
 
 
 def op2_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ipf_mixing": mixing.sql(), "op5_extendible_shards": extendible.sql(SHARD_BYTES), "op8_pivot_search": pivots.sql()}
+    return {"op2_ipf_mixing": mixing.sql(), "op3_positional_index": decontam.sql(), "op5_extendible_shards": extendible.sql(SHARD_BYTES), "op8_pivot_search": pivots.sql()}

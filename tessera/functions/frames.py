@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the session's checkpoint folder, which the driver and all executors see."""
+    return f"{_shared(spark.sparkContext)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a reliable checkpoint; a folder of our own is set only where the session has none."""
-    context = df.sparkSession.sparkContext
+    _shared(df.sparkSession.sparkContext)
+    return df.checkpoint()
+
+
+def _shared(context) -> str:
     if context.getCheckpointDir() is None:
         found = context.getConf().get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+    return context.getCheckpointDir().rstrip("/")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,23 @@ def _structure(op, a, b):
     return structure_of(op, a, b) if isinstance(a, Matrix) and isinstance(b, Matrix) and a.shape == b.shape else "dense"
 
 
+def _bounded(fn):
+    """``fn`` whose result keeps the block boundaries of both matrices."""
+
+    @functools.wraps(fn)
+    def run(a, b, *more):
+        out = fn(a, b, *more)
+        if isinstance(a, Matrix) and isinstance(b, Matrix) and a.shape == b.shape and (a.row_partitions or b.row_partitions):
+            from .blocks import common
+
+            both = common(a, b)[0]
+            out.row_partitions, out.col_partitions = both.row_partitions, both.col_partitions
+        return out
+
+    return run
+
+
+@_bounded
 def add(a, b, sign: int = 1):
     a, b = _both(a, b)
     if is_number(b):
@@ -110,6 +129,7 @@ def subtract(a, b):
     return add(a, b, -1)
 
 
+@_bounded
 def multiply(a, b):
     a, b = _both(a, b)
     if is_number(b):
@@ -125,6 +145,7 @@ def multiply(a, b):
     return make(df.select(*keys, D.cast(D.times(F.col("x"), F.col("y"), cplx), wide, out).alias("v")), out, _structure("mul", a, b))
 
 
+@_bounded
 def divide(a, b):
     """The quotient of every cell, with inf and nan as IEEE 754 has them; the result is dense."""
     a, b = _both(a, b)

@@ -154,6 +154,10 @@ def solve(a: Matrix, b):
 
 
 def _solved(a, b, fn):
+    if isinstance(b, Matrix) and b.shape[1] > SINGLE:  # columns are solved apart
+        half = b.shape[1] // 2
+        return block_matrix([[_solved(a, b[:, :half], fn), _solved(a, b[:, half:], fn)]])
+
     def run(x, y):
         try:
             return [fn(x, y)]
@@ -176,7 +180,7 @@ def _substitute(a: np.ndarray, y: np.ndarray, lower: bool) -> np.ndarray:
 
 
 def solve_triangular(a: Matrix, b):
-    """As solve, of a matrix known to be triangular or diagonal; cells outside the triangle count as zero. Columns of b are solved apart."""
+    """As solve, of a matrix known to be triangular or diagonal; cells outside the triangle count as zero. Above SINGLE rows by halves."""
     n = _square(a)
     b = elementwise.lift(b, a)
     kind = P.effective_structure(a.properties)
@@ -186,7 +190,21 @@ def solve_triangular(a: Matrix, b):
     upper = kind == "upper_triangular" or a.structure == "triangular"
     if not upper and kind != "lower_triangular":
         raise ValueError("assert is_upper_triangular or is_lower_triangular first")
-    return _solved(a, b, lambda x, y: _substitute(np.triu(x) if upper else np.tril(x), y, not upper))
+    if n <= SINGLE:
+        return _solved(a, b, lambda x, y: _substitute(np.triu(x) if upper else np.tril(x), y, not upper))
+    h = n // 2
+    props = {"is_upper_triangular": True} if upper else {"is_lower_triangular": True}
+
+    def corner(x):
+        return Matrix(x.df, *x.shape, a.dtype, props=props)
+
+    first, last = (corner(a[h:, h:]), corner(a[:h, :h])) if upper else (corner(a[:h, :h]), corner(a[h:, h:]))
+    column = Matrix(b.df.select("i", F.lit(0).cast("bigint").alias("j"), "v"), n, 1, b.dtype) if isinstance(b, Vector) else b
+    top, low = column[:h, :], column[h:, :]
+    x = solve_triangular(first, low if upper else top).eval()
+    other = solve_triangular(last, (top - products.matmul(a[:h, h:], x)) if upper else (low - products.matmul(a[h:, :h], x)))
+    out = block_matrix([[other], [x]] if upper else [[x], [other]])
+    return _as_vector(out) if isinstance(b, Vector) else out
 
 
 def lstsq(a: Matrix, b):
@@ -200,6 +218,11 @@ def slogdet(a: Matrix) -> tuple:
     n = _square(a)
     if a.structure == "identity":
         return 1.0, 0.0
+    if n > SINGLE:  # det [[A, B], [C, D]] = det A det (D - C A^-1 B)
+        h = n // 2
+        first, rest = a[:h, :h], a[h:, h:] - products.matmul(a[h:, :h], products.matmul(invert(a[:h, :h]), a[:h, h:]))
+        (s, v), (t, w) = slogdet(first), slogdet(rest.eval())
+        return s * t, v + w
     sign = dense_task([a], lambda x: np.linalg.slogdet(x)[0]) if n else 1.0
     return sign, float(np.real(dense_task([a], lambda x: _log_size(x)))) if n else 0.0
 
@@ -288,11 +311,26 @@ def _cut(v: Vector, cut) -> Vector:
 def qr(a: Matrix) -> tuple[Matrix, Matrix]:
     r, c = a.shape
     k = min(r, c)
+    if r > SINGLE >= c:
+        return _tall_qr(a)
     q, t = _results([a], lambda x: list(np.linalg.qr(x)), [(r, k), (k, c)])
     t.properties = {"is_upper_triangular": True} if k == c else {}
     return q, t
 
 
+def _tall_qr(a: Matrix) -> tuple[Matrix, Matrix]:
+    """Q and R of a matrix with many rows: R from the Cholesky factor of its gram matrix, twice over against rounding. The columns must be independent, with a condition below some 1e7."""
+    c = a.shape[1]
+    q, r = a, None
+    for _ in range(2):
+        step = cholesky(products.matmul(q.H, q)).H.eval()
+        step.properties = {"is_upper_triangular": True}
+        q = products.matmul(q, invert(step)).eval()
+        r = step if r is None else products.matmul(step, r)
+    r = Matrix(r.df.filter("i <= j"), c, c, r.dtype, props={"is_upper_triangular": True})
+    return q, r
+
+
 def _plu(x: np.ndarray) -> list[np.ndarray]:
     u, n = x.astype(np.result_type(x, np.float64)).copy(), len(x)
     l, order = np.eye(n, dtype=u.dtype), np.arange(n)
@@ -321,12 +359,25 @@ def lu(a: Matrix) -> tuple[Matrix, Matrix, Matrix]:
 
 def cholesky(a: Matrix) -> Matrix:
     n = _square(a)
-    return _results([a], lambda x: [np.linalg.cholesky(x)], [(n, n)])[0]
+    if n <= SINGLE:
+        return _results([a], lambda x: [np.linalg.cholesky(x)], [(n, n)])[0]
+    h = n // 2
+    top = cholesky(a[:h, :h]).eval()
+    top = Matrix(top.df, h, h, top.dtype, props={"is_lower_triangular": True})
+    left = solve_triangular(top, a[:h, h:]).H.eval()
+    low = cholesky((a[h:, h:] - products.matmul(left, left.H)).eval())
+    from tessera.sources.constructors import zeros
+
+    return block_matrix([[top, zeros((h, n - h), dtype=top.dtype, spark=a.spark)], [left, low]])
 
 
 def svd(a: Matrix) -> tuple[Matrix, Vector, Matrix]:
     r, c = a.shape
     k = min(r, c)
+    if r > SINGLE >= c:
+        q, t = _tall_qr(a)
+        u, s, v = svd(t)
+        return products.matmul(q, u), s, v
 
     def run(x):
         u, s, v = np.linalg.svd(x, full_matrices=False)
@@ -337,6 +388,9 @@ def svd(a: Matrix) -> tuple[Matrix, Vector, Matrix]:
 
 
 def pinv(a: Matrix) -> Matrix:
+    if a.shape[0] > SINGLE >= a.shape[1]:
+        q, t = _tall_qr(a)
+        return products.matmul(invert(t), q.H)
     return _results([a], lambda x: [np.linalg.pinv(x)], [a.shape[::-1]])[0]
 
 

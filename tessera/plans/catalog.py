@@ -507,3 +507,6 @@ def propagator_massive(spark, d):
 @query(f"with {SQL_N} select i, j, 0.0::double as re, 0.5::double as im from c union all select j, i, 0.0, -0.5 from c")
 def pauli_jordan(spark, d):
     return causal.ScalarField(nation_set(spark, d)).pauli_jordan().df.select("i", "j", F.col("v.re").alias("re"), F.col("v.im").alias("im"))
+
+
+from tessera.plans import contracts  # noqa: E402,F401  registers its queries

@@ -177,12 +177,13 @@ def set_backing_dir(path) -> Path:
 
 
 def kept_inverse(m: Matrix, name: str) -> Matrix:
-    """The inverse of ``m``, saved under ``name`` in the backing folder when first asked for; a folder that went missing raises."""
+    """The inverse of ``m``, saved in the backing folder under ``name`` and a digest of the cells when first asked for; a folder that went missing raises."""
     from tessera.operators.linalg import invert
 
     if "dir" not in _STORE:
         raise ValueError("set_backing_dir first")
-    path = f"{_STORE['dir'].rstrip('/')}/{name}.inverse"
+    row = m.df.agg(F.count("*"), F.sum(F.xxhash64(*m.axes, "v").cast("decimal(38,0)"))).first()
+    path = f"{_STORE['dir'].rstrip('/')}/{name}-{m.shape[0]}-{m.dtype}-{row[0]}-{row[1]}.inverse"
     if path not in _KEPT:
         save(invert(m), path)
         _KEPT.add(path)

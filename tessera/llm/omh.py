@@ -273,16 +273,18 @@ def _key() -> Column:
 
 
 def _word_rows(docs: DataFrame) -> DataFrame:
-    """node and its words as packed 32-bit hashes."""
+    """node, its words as packed 32-bit hashes, and many (whether the text occurs more than once)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in kernels.utf8_slices(batch["text"]):
                 hashes, at = kernels.words(data, offsets)
                 small = (hashes >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array([small[i:j].tobytes() for i, j in zip(at, at[1:])], type=pa.binary())], names=["node", "words"])
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array([small[i:j].tobytes() for i, j in zip(at, at[1:])], type=pa.binary()), batch["many"].slice(a, b - a)], names=["node", "words", "many"])
 
-    return docs.select("node", "text").mapInArrow(work, "node bigint, words binary")
+    found = workspace.materialize(docs.select("node", "text", "many").mapInArrow(work, "node bigint, words binary, many boolean"), "words")
+    again = found.filter("many").dropDuplicates(["node"])  # only they can come in repeated rows
+    return found.filter("not many").unionByName(workspace.materialize(again, "words")).select("node", "words")
 
 
 def _grams(words: bytes) -> np.ndarray:
@@ -403,17 +405,17 @@ def _classes(docs: DataFrame, alike: float) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = workspace.materialize(_sketched(plain), "sketched")
     texts = _texts(rows)
-    names = texts.select("key", "node", F.col("first").alias("_first"))
+    names = texts.select("key", "node", F.col("first").alias("_first"), (F.col("n_copies") > 1).alias("many"))
     one_each = rows.join(names, (F.col("doc_id").eqNullSafe(F.col("_first"))) & (rows["key"] == names["key"])).select("node", "sketch", "size")
     met = one_each.select("node", "size", F.explode("sketch").alias("bucket"))
     full = met.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("bucket")
     members = workspace.materialize(met.join(full, "bucket").select("bucket", "node", "size").distinct(), "members")
 
     sizes = workspace.materialize(members.select("node", "size").distinct(), "sizes")
-    asked = names.join(sizes.select("node"), "node", "left_semi").select(F.col("key").alias("_key"), "node", "_first")
+    asked = names.join(sizes.select("node"), "node", "left_semi").select(F.col("key").alias("_key"), "node", "_first", "many")
     asked = workspace.broadcast_if_small(workspace.materialize(asked, "asked"), SMALL)
     first_rows = plain.withColumn("_k", _key()).join(asked, (F.col("_k") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    words = workspace.materialize(_word_rows(first_rows).dropDuplicates(["node"]), "words")
+    words = _word_rows(first_rows)
     n_texts = texts.count()
     rank = plain.sparkSession.sparkContext.broadcast(_ranks(words))
     wide = members.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -449,10 +451,11 @@ def _classes(docs: DataFrame, alike: float) -> DataFrame:
         pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "node", F.lit(1).cast("bigint").alias("partner")).distinct()
         parts = _merged(parts, workspace.materialize(_links(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike)), "links"))
 
-    named = texts.join(parts, "node", "left").select("key", "first", "n_copies", F.coalesce("component", "node").alias("component"))
-    named = workspace.materialize(named, "named")
-    lowest = named.groupBy("component").agg(F.min("first").alias("class_id"), F.min_by(F.col("key"), F.struct(F.col("first").isNull(), "first", "key")).alias("winner"))
-    named = named.join(lowest, "component").select("key", "first", "n_copies", "class_id", "winner")
+    named = workspace.materialize(texts.join(parts, "node", "left").select("key", "first", "n_copies", F.col("component").alias("bucket")), "named")
+    alone = named.filter(F.col("bucket").isNull()).select("key", "first", "n_copies", F.col("first").alias("class_id"), F.col("key").alias("winner"))
+    several = named.filter(F.col("bucket").isNotNull())
+    lowest = several.groupBy("bucket").agg(F.min("first").alias("class_id"), F.min_by(F.col("key"), F.struct(F.col("first").isNull(), "first", "key")).alias("winner"), F.count("*").alias("n"))
+    named = alone.unionByName(_of_bucket(several, lowest).select("key", "first", "n_copies", "class_id", "winner"))
     return rows.select("doc_id", "key").join(named, "key", "left")
 
 

@@ -49,8 +49,7 @@ class Encoder:
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         #: Added tokens are found in the text as it is written, before letters are folded.
-        self.marks = np.zeros(256, dtype=bool)
-        self.marks[[x["content"].encode()[0] for x in spec.get("added_tokens", []) if x["content"]]] = True
+        self.marks = sorted({x["content"].encode()[0] for x in spec.get("added_tokens", []) if x["content"]})
         self.by_piece, self.plain = _splits_at_blanks(spec), _plain_model(spec)
         self._forget()
 
@@ -89,8 +88,7 @@ class Encoder:
             at = last[own]
             starts = np.insert(starts, own + 1, at)
             ends = np.insert(ends, own, at)
-        at = np.flatnonzero(self.marks[data])
-        if len(at):  # pieces that may hold an added token keep their letters
+        for at in [at for m in self.marks if len(at := np.flatnonzero(data == m))]:  # pieces that may hold an added token keep their letters
             for k in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
                 lower[starts[k] : ends[k]] = data[starts[k] : ends[k]]
         keys, first, which = np.unique(hash_runs(lower, starts, ends), return_index=True, return_inverse=True)

@@ -262,6 +262,46 @@ def test_op8_leaves_out_far_groups():
     assert done < 0.5 * len(q) * 4000
 
 
+def interpolated(toks):
+    """Scores by deleted interpolation in plain Python, with the estimates as they are (the operator bins them)."""
+    train = [ws for i, ws in toks if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two = collections.Counter(w for ws in train for w in ws), collections.Counter()
+    one[None] = len(train)  # the place before a text
+    for ws in train:
+        two.update(zip([None, *ws], ws))
+    n, types = sum(one.values()) - len(train), len(one) - 1
+
+    def bucket(c):
+        return int(math.log2(c)) + 1 if c > 0 else 0
+
+    held = collections.defaultdict(list)
+    for ws in train:
+        for a, b in zip([None, *ws], ws):
+            held[bucket(one[a] - 1)].append(((two[a, b] - 1) / max(one[a] - 1, 1), (one[b] - 1) / (n - 1), 1 / (types + 1)))
+    lam = {0: (0.0, 0.9, 0.1)}
+    for b in range(65):
+        lam[b] = lam[b - 1] if b > 1 else (0.0, 0.9, 0.1)
+        if b in held:
+            w = (0.4, 0.4, 0.2) if b else (0.0, 0.7, 0.3)
+            for _ in range(100):
+                total = [0.0] * 3
+                for q in held[b]:
+                    whole = sum(x * y for x, y in zip(w, q))
+                    for k in range(3):
+                        total[k] += w[k] * q[k] / whole
+                w = tuple(t / len(held[b]) for t in total)
+            w = (*w[:2], max(w[2], 1e-6))
+            lam[b] = tuple(x / sum(w) for x in w)
+    out = []
+    for _, ws in toks:
+        score = 0.0
+        for a, b in zip([None, *ws], ws):
+            w = lam[bucket(one[a])]
+            score += math.log10(w[0] * two[a, b] / max(one[a], 1) + w[1] * one[b] / n + w[2] / (types + 1))
+        out.append(score)
+    return out
+
+
 def test_op9(docs, none, rows):
     got = collections.defaultdict(list)
     for r in deleted.score(docs).collect():
@@ -274,6 +314,9 @@ def test_op9(docs, none, rows):
             base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(count[w] > 0 for w in ws), n) and math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] <= 0
     assert deleted.score(none).count() == 0
+    want = interpolated(toks)
+    off = [min(abs(r["score"] / score - 1) for r in got[i]) for (i, _), score in zip(toks, want)]
+    assert max(off) < 0.03 and sorted(off)[len(off) // 2] < 0.001  # estimates are binned by eighths of a halving
     lam = deleted.learn(np.array([(1 << 20) + (1 << 10) + 9]), np.array([10]), 100)
     assert np.allclose(lam.sum(axis=1), 1)
 

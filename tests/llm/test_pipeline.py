@@ -46,3 +46,27 @@ def test_pipeline(spark):
     assert sorted(got.index) == sorted(want.index) and 0 < len(got) < len(docs)
     for c in ("shard", "depth", "shard_bytes", "shard_docs"):
         assert (got[c].sort_index().astype(str) == want[c].sort_index().astype(str)).all()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, null and shared ids, repeated rows, extra columns with clashing names."""
+    own = {"en": "the that with shall house".split(), "fr": "les avec eaux que maison".split()}
+    passage = "a passage of a benchmark item that has ten words"
+
+    def text(lang, k):
+        return " ".join(own[lang][(k * p + p // 3) % 5] + ("x" * (p % 4 == k % 4)) + str(k * 100 + p) for p in range(30))
+
+    rows = [(k, text("en" if k % 2 else "fr", k), "en" if k % 2 else "fr", f"s{k % 3}") for k in range(40)]
+    rows += [(50, None, "en", None), (None, "", None, "s0"), (51, text("en", 3), "en", "s1"), (51, text("en", 3), "en", "s1"), (None, text("en", 5), None, "s1"), (52, f"{text('en', 7)[:60]} {passage} {text('en', 9)[:60]}", "en", "s2"), (None, f"{passage} {text('fr', 60)}", "fr", "s2"), (1, text("fr", 70), "fr", "s1")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "mine", 7) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, `no.de` int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, None), (None, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    kept = [r for r in got.collect()]
+    assert set(docs.columns) < set(got.columns) and {r["key"] for r in kept} == {"mine"}
+    texts = [r["text"] for r in kept]
+    assert len(texts) == len(set(texts)) and not any(t is None or not t or passage in t for t in texts)
+    assert 30 <= len(texts) <= 41
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    docs.limit(0).select("doc_id", "text").withColumnRenamed("doc_id", "item_id").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -112,19 +112,25 @@ def scan_blocks(spark: SparkSession, folder: str, end_id: int, width: int, block
 
 
 def stitch(blocks: DataFrame) -> DataFrame:
-    """A row per document of the scanned blocks: file, doc, start (in the file), n_ids (with the end id), closed."""
+    """A row per document of the scanned blocks: file, doc, start (in the file), n_ids (with the end id), closed.
+
+    The scan goes over a row of four numbers for each block; the places of the
+    ends stay with their blocks, which are dealt by file and block.
+    """
+    blocks = workspace.materialize(blocks, "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    scanned = (
-        blocks.withColumn("last", F.when(F.size("ends") > 0, F.element_at("ends", -1)))
+    n_ends = F.size("ends").cast("bigint")
+    prefix = (
+        blocks.select("file", "block", "n_ids", n_ends.alias("n_ends"), F.when(n_ends > 0, F.element_at("ends", -1)).alias("last"))
         .withColumn("began", F.coalesce(F.max("last").over(before), F.lit(0)))
-        .withColumn("doc0", F.coalesce(F.sum(F.size("ends").cast("bigint")).over(before), F.lit(0)))
-        .withColumn("ids0", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+        .withColumn("doc0", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
+        .withColumn("total", F.coalesce(F.sum("n_ids").over(before), F.lit(0)) + F.col("n_ids"))
         .withColumn("is_last", F.count("*").over(after) == 0)
+        .select("file", "block", "began", "doc0", "total", (F.col("is_last") & (F.col("total") > F.coalesce("last", "began"))).alias("open"))
     )
-    total = F.col("ids0") + F.col("n_ids")
-    open_ = F.col("is_last") & (total > F.coalesce("last", "began"))
-    ends = F.when(open_, F.concat("ends", F.array(total))).otherwise(F.col("ends"))
+    scanned = blocks.select("file", "block", "ends").hint("merge").join(prefix, ["file", "block"])
+    ends = F.when(F.col("open"), F.concat("ends", F.array("total"))).otherwise(F.col("ends"))
     docs = scanned.withColumn("all_ends", ends).select("file", "doc0", "began", "all_ends", F.size("ends").alias("n_closed"), F.posexplode("all_ends").alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("began")).otherwise(F.expr("get(all_ends, k - 1)"))
     return docs.select("file", (F.col("doc0") + F.col("k")).alias("doc"), start.alias("start"), (F.col("end") - start).alias("n_ids"), (F.col("k") < F.col("n_closed")).alias("closed"))

@@ -436,3 +436,17 @@ def test_order_matters():
     assert omh.word_similarity(a, np.roll(a, 50)) == 0
     forward, back = (omh.sketches(x, np.array([0, 2])) for x in (a[:2], a[:2][::-1].copy()))
     assert not (forward == back).any()
+
+
+def test_op4_documents_across_blocks_and_files(spark, tmp_path):
+    rng, want = np.random.default_rng(4), []
+    for name, n in (("a.bin", 999), ("b.bin", 40), ("c.bin", 1)):
+        ids = np.where(rng.random(n) < 0.05, 9, 5)
+        ids.astype("<u2").tofile(tmp_path / name)
+        cuts = [0, *(np.flatnonzero(ids == 9) + 1).tolist()]
+        want += [(name, k, a, b - a, True) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        if cuts[-1] < n:
+            want.append((name, len(cuts) - 1, cuts[-1], n - cuts[-1], False))
+    for size in (1, 13, 5000):
+        got = separators.stitch(separators.scan_blocks(spark, f"file://{tmp_path}", 9, 2, size))
+        assert sorted((r["file"], r["doc"], r["start"], r["n_ids"], r["closed"]) for r in got.collect()) == want

@@ -153,28 +153,29 @@ def relation(points: DataFrame, precedes, order: str = "index", block: int = BLO
     equi-join on the pair of blocks, so the pairs spread over all tasks without
     a cartesian product or a broadcast side. ``order`` "index" keeps pairs whose
     ids ascend, as a sprinkling without sorting does; "time" keeps all. ``within``
-    names a column whose values are causal sets of their own; it is kept.
+    names a column whose values are causal sets of their own; it is kept. A set has
+    as many blocks as its points fill, dealt by hash of the id, and each block meets
+    each, so a set of at most ``block`` points is one key and a large one many.
+    Points whose ``within`` is null are in no set.
     """
-    n_blocks = points.agg(F.floor(F.max("id") / block).alias("b")).first()["b"]
-    last = F.lit(0 if n_blocks is None else int(n_blocks))
+    if order not in ("index", "time"):
+        raise ValueError("order is 'index' or 'time'")
     cols = [c for c in points.columns if c not in ("id", within)]
-    keys = ["p", "q"] + ([within] if within else [])
-    own_key = [within] if within else []
-    own = F.floor(F.col("id") / block).cast("int")
-    left = points.select(*own_key, F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in cols], own.alias("p"))
-    right = points.select(*own_key, F.col("id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols], own.alias("q"))
-    if order == "index":
-        left = left.withColumn("q", F.explode(F.sequence(F.col("p"), last)))
-        right = right.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("q"))))
-        keep = F.col("i") < F.col("j")
-    elif order == "time":
-        left = left.withColumn("q", F.explode(F.sequence(F.lit(0), last)))
-        right = right.withColumn("p", F.explode(F.sequence(F.lit(0), last)))
-        keep = F.col("i") != F.col("j")
+    left = {"i": "id", **{f"a_{c}": c for c in cols}}
+    right = {"j": "id", **{f"b_{c}": c for c in cols}}
+    if within:
+        large = points.groupBy(within).count().filter(F.col("count") > block).select(within, F.ceil(F.col("count") / block).alias("_blocks"))
+        dealt = points.join(large, within, "left").withColumn("_last", F.coalesce("_blocks", F.lit(1)) - 1).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_last") + 1))
     else:
-        raise ValueError("order is 'index' or 'time'")
+        n_blocks = points.agg(F.floor(F.max("id") / block).alias("b")).first()["b"]
+        dealt = points.withColumn("_last", F.lit(n_blocks or 0).cast("bigint")).withColumn("_own", F.floor(F.col("id") / block))
+    zero, by_id = F.lit(0).cast("bigint"), order == "index" and not within
+    own_key = [within] if within else []
+    left = dealt.select(*own_key, *[F.col(c).alias(n) for n, c in left.items()], F.col("_own").alias("p"), F.explode(F.sequence(F.col("_own") if by_id else zero, F.col("_last"))).alias("q"))
+    right = dealt.select(*own_key, *[F.col(c).alias(n) for n, c in right.items()], F.col("_own").alias("q"), F.explode(F.sequence(zero, F.col("_own") if by_id else F.col("_last"))).alias("p"))
+    keep = F.col("i") < F.col("j") if order == "index" else F.col("i") != F.col("j")
     pred = precedes(lambda k: F.col(f"a_c{k}"), lambda k: F.col(f"b_c{k}"))
-    return left.join(right, keys).filter(keep & pred).select(*own_key, "i", "j")
+    return left.join(right, [*own_key, "p", "q"]).filter(keep & pred).select(*own_key, "i", "j")
 
 
 def path_counts(edges: DataFrame) -> DataFrame:

@@ -434,7 +434,7 @@ def event_points(spark, d) -> DataFrame:
 
 
 def event_edges(spark, d) -> DataFrame:
-    return causal.relation(event_points(spark, d), causal.MinkowskiBox(2, 1.0, 1.0).precedes, within="user_id", block=1 << 40)
+    return causal.relation(event_points(spark, d), causal.MinkowskiBox(2, 1.0, 1.0).precedes, within="user_id")
 
 
 @query(f"with {SQL_BOX} select * from e")
@@ -444,18 +444,18 @@ def causal_edges_box(spark, d):
 
 @query(f"with {SQL_EVENTS} select a.u as user_id, a.id as i, b.id as j from p a join p b on a.u = b.u and a.id < b.id and a.t < b.t and a.x < b.x")
 def causal_edges_diamond(spark, d):
-    return causal.relation(event_points(spark, d), causal.MinkowskiDiamond(2).precedes, within="user_id", block=1 << 40)
+    return causal.relation(event_points(spark, d), causal.MinkowskiDiamond(2).precedes, within="user_id")
 
 
 @query(f"with {SQL_EVENTS} select a.u as user_id, a.id as i, b.id as j from p a join p b on a.u = b.u and a.id < b.id and a.t < b.t and b.t - a.t > least(abs(b.x - a.x), 600 - abs(b.x - a.x))")
 def causal_edges_cylinder(spark, d):
-    return causal.relation(event_points(spark, d), causal.MinkowskiCylinder(2, 1.0, 600.0).precedes, within="user_id", block=1 << 40)
+    return causal.relation(event_points(spark, d), causal.MinkowskiCylinder(2, 1.0, 600.0).precedes, within="user_id")
 
 
 @query(f"with {SQL_EVENTS}, r as (select (id * 7919) % 1000003 as id, u, t, x from p) select a.u as user_id, a.id as i, b.id as j from r a join r b on a.u = b.u and a.id < b.id and a.t < b.t and (b.t - a.t) * (b.t - a.t) > (b.x - a.x) * (b.x - a.x)")
 def causal_edges_relabelled(spark, d):
     points = event_points(spark, d).withColumn("id", F.col("id") * 7919 % 1000003)
-    return causal.relation(points, causal.MinkowskiBox(2, 1.0, 1.0).precedes, within="user_id", block=1 << 40)
+    return causal.relation(points, causal.MinkowskiBox(2, 1.0, 1.0).precedes, within="user_id")
 
 
 @query(f"with {SQL_BOX} select a.i, b.j, cast(count(*) as bigint) as v from e a join e b on a.j = b.i group by 1, 2")

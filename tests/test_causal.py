@@ -32,6 +32,18 @@ def test_relation(spark, st, order):
     assert {tuple(r) for r in small.collect()} == set(zip(*map(list, np.nonzero(want))))
 
 
+@pytest.mark.parametrize("order", ["index", "time"])
+def test_relation_within_sets(spark, order):
+    rng, st = np.random.default_rng(2), tc.MinkowskiBox(2, 1.0, 1.0)
+    rows = [(int(i), None if i % 50 == 0 else "hot" if i % 3 else f"u{i % 7}", *map(float, rng.random(2))) for i in rng.permutation(120)]
+    points = spark.createDataFrame(rows, "id bigint, u string, c0 double, c1 double")
+    want = {(a[1], a[0], b[0]) for a in rows for b in rows if a[1] and a[1] == b[1] and a[0] != b[0] and (order == "time" or a[0] < b[0]) and precedes(st, a[2:], b[2:])}
+    for block in (5, 2048):
+        got = [tuple(r) for r in causal.relation(points, st.precedes, order, block=block, within="u").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert causal.relation(points.filter("false"), st.precedes, order, within="u").count() == 0
+
+
 def test_points_follow_the_seed(spark):
     a, b, other = (tc.CausalSet(50, seed=s, spark=spark) for s in (12345, 12345, 7))
     np.testing.assert_array_equal(a.coordinates(), b.coordinates())

@@ -471,7 +471,12 @@ def keep_first(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     Rows with null text are kept. Rows go by their text, so different texts that share a
     doc_id, or have none, do not hide each other.
     """
-    found = workspace.materialize(_classes(docs, alike).filter(F.col("key").isNotNull()), "classes")
+    spark = docs.sparkSession
+    with workspace.tables(spark):
+        found = _classes(docs, alike).filter(F.col("key").isNotNull())
+        kept = workspace.table_path(spark, "classes")  # outlives the tables that it is made from
+        found.write.option("compression", "zstd").parquet(kept)
+    found = spark.read.schema(found.schema).parquet(kept)
     goes = (F.col("winner") != F.col("key")) | ~F.col("doc_id").eqNullSafe(F.col("first"))
     gone = found.filter(goes).select(F.col("key").alias("_gone_key"), F.col("doc_id").alias("_gone_id")).distinct()
     packed = docs.select(F.struct(*workspace.own(docs)).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), _key().alias("_text"))

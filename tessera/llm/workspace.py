@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of the tables written since the innermost ``tables`` began.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own, which only a local master may have."""
@@ -29,9 +35,25 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
     path = table_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    if _written.get() is not None:
+        _written.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``materialize`` wrote inside. What goes on after must not read them."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        paths = _written.get()
+        _written.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def own(df: DataFrame, skip: tuple[str, ...] = ()) -> list[Column]:
     """The columns of ``df`` by their names as they are, whatever characters they hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in skip]

@@ -61,7 +61,7 @@ LOOSE = 0.5
 SALTS = 256
 #: Links of a node from which its neighbours hear its label in parts.
 DEGREE = 100_000
-#: Ids that are broadcast to pick rows; more are joined by shuffle.
+#: Rows of ids that are broadcast, counted before; more are joined by shuffle.
 SMALL = 200_000
 #: Pairs a text that may be left for a comparison of all that are left.
 PAIRS = 4
@@ -302,8 +302,10 @@ def _compared(stars: DataFrame, words: DataFrame, rank, alike: float) -> DataFra
     The words of a leader go to as many tasks as its members are dealt to.
     """
     stars = stars.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    leads = stars.select("lead", "salt").distinct().join(words.select(F.col("node").alias("lead"), F.col("words").alias("of_lead")), "lead")
-    both = stars.join(words.select("node", F.col("words").alias("x")), "node").join(leads, ["lead", "salt"])
+    few = F.broadcast if stars.limit(SMALL + 1).count() <= SMALL else lambda df: df
+    # both joins take the words in the same form, so one shuffle of them serves both where the stars are many
+    leads = few(stars.select("lead", "salt").distinct()).join(words, F.col("lead") == F.col("node")).select("lead", "salt", F.col("words").alias("of_lead"))
+    both = few(stars).join(words, "node").withColumnRenamed("words", "x").join(leads, ["lead", "salt"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = one = None
@@ -324,10 +326,13 @@ def _compared(stars: DataFrame, words: DataFrame, rank, alike: float) -> DataFra
 
 
 def _of_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """``rows`` joined with ``facts`` (a row for a bucket, with its number n of rows); the few buckets with more rows than a fourth of a task's share are sent to all tasks."""
+    """``rows`` joined with ``facts`` (a row for a bucket, with its number n of rows). Up to ``SMALL`` buckets are sent to all tasks; of more, only the few with more rows than a fourth of a task's share."""
     facts = workspace.materialize(facts, "buckets")
+    buckets, total = facts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if buckets <= SMALL:
+        return rows.join(F.broadcast(facts), "bucket")
     parts = 4 * workspace.partitions(rows.sparkSession)
-    most = max(1000, (facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // parts)
+    most = max(1000, total // parts)
     wide = F.broadcast(facts.filter(F.col("n") > most))  # at most ``parts`` rows
     plain = rows.join(wide.select("bucket"), "bucket", "left_anti").join(facts.filter(F.col("n") <= most), "bucket")
     return rows.join(wide, "bucket").unionByName(plain)
@@ -391,13 +396,13 @@ def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """key, first (the smallest doc_id), n_copies and node (first, or a hash where it names several texts or none) of each text."""
-    texts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
+    """key, first (the smallest doc_id), n_copies, sketch, size and node (first, or a hash where it names several texts or none) of each text."""
+    texts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     texts = workspace.materialize(texts, "texts")
     shared = texts.filter(F.col("first").isNotNull()).groupBy("first").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("first").alias("one"))
     shared = workspace.broadcast_if_small(workspace.materialize(shared, "shared"), SMALL)
     own = F.col("first").isNotNull() & F.col("one").isNull()
-    return texts.join(shared, F.col("first") == F.col("one"), "left").select("key", "first", "n_copies", F.when(own, F.col("first")).otherwise(F.xxhash64("key")).alias("node"))
+    return texts.join(shared, F.col("first") == F.col("one"), "left").select("key", "first", "n_copies", "sketch", "size", F.when(own, F.col("first")).otherwise(F.xxhash64("key")).alias("node"))
 
 
 def _classes(docs: DataFrame, alike: float) -> DataFrame:
@@ -406,9 +411,9 @@ def _classes(docs: DataFrame, alike: float) -> DataFrame:
     rows = workspace.materialize(_sketched(plain), "sketched")
     texts = _texts(rows)
     names = texts.select("key", "node", F.col("first").alias("_first"), (F.col("n_copies") > 1).alias("many"))
-    one_each = rows.join(names, (F.col("doc_id").eqNullSafe(F.col("_first"))) & (rows["key"] == names["key"])).select("node", "sketch", "size")
-    met = one_each.select("node", "size", F.explode("sketch").alias("bucket"))
+    met = texts.select("node", "size", F.explode("sketch").alias("bucket"))
     full = met.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("bucket")
+    full = workspace.broadcast_if_small(workspace.materialize(full, "full"), SMALL)
     members = workspace.materialize(met.join(full, "bucket").select("bucket", "node", "size").distinct(), "members")
 
     sizes = workspace.materialize(members.select("node", "size").distinct(), "sizes")

@@ -356,8 +356,10 @@ def test_op10(spark, docs, none, rows):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
-def test_op10_rows_go_by_their_text(spark):
+@pytest.mark.parametrize("small", [0, omh.SMALL])
+def test_op10_rows_go_by_their_text(spark, monkeypatch, small):
     """Null and shared doc_ids, repeated rows, names that clash."""
+    monkeypatch.setattr(omh, "SMALL", small)
     base, other, third = prose(60), prose(60), prose(60)
     near = base.replace(base.split()[9], "changed")
     table = [(5, base), (5, other), (5, other), (None, base), (None, near), (None, third), (None, None), (7, None), (3, near), (9, third), (9, "")]
@@ -369,8 +371,10 @@ def test_op10_rows_go_by_their_text(spark):
     assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == {(3, near): 1, (5, other): 1, (9, third): 1, (9, ""): 1, (None, None): 1, (7, None): 1}
 
 
-def test_op10_edit_similarity(spark):
+@pytest.mark.parametrize("small", [0, omh.SMALL])
+def test_op10_edit_similarity(spark, monkeypatch, small):
     """Copies with a change in every twelfth word have a shingle similarity of 0.4 only, and are alike."""
+    monkeypatch.setattr(omh, "SMALL", small)
     table = []
     for k in range(30):
         w = prose(140).split()

@@ -15,15 +15,19 @@ if the longest ascending chain of m common shingles within that band gives an
 ordered Jaccard similarity m / (a + b - m) of 0.8 or more.
 
 Texts that are equal are collapsed first. The members of a bucket are first
-linked to the text that shares most sketches with others. In buckets that still
-hold different classes they are compared with one leader only, the shortest
-text b. If x and y have a Jaccard similarity of ``LOOSE`` or more but x has too few
-shingles in common with b for that, then |x n y n b| <= |x n b| < |x n y|, as
+linked to the text that shares most sketches with others. Buckets that then
+hold different classes, but at most ``FEW`` pairs of them a member, are left for the
+comparison of all pairs in the end. The others are cut by the length of their texts,
+as alike ones differ by no more than the threshold allows; where many pairs remain,
+members are compared with one leader only, the shortest text b. If x and y have a
+Jaccard similarity of ``LOOSE`` or more but x has too few shingles in common with b
+for that, then |x n y n b| <= |x n b| < |x n y|, as
 |b| <= |y|: they share a shingle that b lacks. So members are dealt on by such
 shingles (a prefix of them, rarest first, as long as the needed overlap leaves) to
 buckets of the next round; those that have enough in common with b are dealt on by
 all that b lacks. Rounds go on while a bucket holds different classes, or until the
-pairs that are left are at most ``PAIRS`` a text; those are all compared. No round
+pairs that are left are at most ``PAIRS`` a text; those are all compared, but for pairs
+whose words, out of order, already differ by more than the threshold allows. No round
 forms the pairs of a large group. Members whose ordered shingles, but for the order,
 are like the leader's are compared across classes in the end: pairs grow with the
 number of texts with moved parts times that of their unmoved copies.
@@ -65,6 +69,10 @@ DEGREE = 100_000
 SMALL = 200_000
 #: Pairs a text that may be left for a comparison of all that are left.
 PAIRS = 4
+#: Pairs a member up to which all pairs of a bucket are left for that comparison.
+FEW = 32
+#: Counters of a text's words, for a bound on how far two texts are apart.
+BINS = 128
 #: Slots of the table of shingle frequencies.
 SLOT_BITS = 17
 _SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
@@ -273,18 +281,50 @@ def _key() -> Column:
 
 
 def _word_rows(docs: DataFrame) -> DataFrame:
-    """node, its words as packed 32-bit hashes, and many (whether the text occurs more than once)."""
+    """node, its words as packed 32-bit hashes, their number, and how many fall in each of ``BINS`` (up to 255)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in kernels.utf8_slices(batch["text"]):
                 hashes, at = kernels.words(data, offsets)
                 small = (hashes >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array([small[i:j].tobytes() for i, j in zip(at, at[1:])], type=pa.binary()), batch["many"].slice(a, b - a)], names=["node", "words", "many"])
+                packed = kernels.to_binary([small[i:j].tobytes() for i, j in zip(at, at[1:])])
+                bags = kernels.to_binary([_bag(small[i:j]) for i, j in zip(at, at[1:])])
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), packed, pa.array(np.diff(at)), bags, batch["many"].slice(a, b - a)], names=["node", "words", "n_words", "bag", "many"])
 
-    found = workspace.materialize(docs.select("node", "text", "many").mapInArrow(work, "node bigint, words binary, many boolean"), "words")
+    found = workspace.materialize(docs.select("node", "text", "many").mapInArrow(work, "node bigint, words binary, n_words bigint, bag binary, many boolean"), "words")
     again = found.filter("many").dropDuplicates(["node"])  # only they can come in repeated rows
-    return found.filter("not many").unionByName(workspace.materialize(again, "words")).select("node", "words")
+    return found.filter("not many").unionByName(workspace.materialize(again, "words")).drop("many")
+
+
+def _bag(words: np.ndarray) -> bytes:
+    return np.minimum(np.bincount(words % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _possible(pairs: DataFrame, words: DataFrame, alike: float) -> DataFrame:
+    """``pairs`` (lead, node) but for those whose texts cannot be alike, by their words out of order.
+
+    A word that is put in, left out or exchanged takes one from a bin at most and adds one
+    to a bin at most, so what one bag has more than the other bounds the edits from below.
+    A chain of m shingles leaves at most max(a, b) - m words of either text, which the
+    threshold bounds by the same share.
+    """
+    bags = words.select("node", "n_words", "bag")
+    bags = workspace.broadcast_if_small(bags, SMALL // 4)  # a row has some 150 bytes
+    of_lead = bags.select(F.col("node").alias("lead"), F.col("n_words").alias("n_lead"), F.col("bag").alias("lead_bag"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, n_lead = (batch[c].to_numpy() for c in ("n_words", "n_lead"))
+            for (a, b, x, _), (_, _, y, _) in zip(kernels.utf8_slices(batch["bag"]), kernels.utf8_slices(batch["lead_bag"])):
+                more = x.reshape(-1, BINS).astype(np.int16) - y.reshape(-1, BINS)
+                apart = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+                apart = np.maximum(apart, np.abs(n[a:b] - n_lead[a:b]))
+                may = pa.array(apart <= (1 - alike) * np.maximum(n[a:b], n_lead[a:b]) + 1e-9)
+                yield pa.RecordBatch.from_arrays([batch[c].slice(a, b - a).filter(may) for c in ("lead", "node")], names=["lead", "node"])
+
+    both = pairs.join(bags, "node").join(of_lead, "lead")
+    return both.select("lead", "node", "n_words", "bag", "n_lead", "lead_bag").mapInArrow(work, "lead bigint, node bigint")
 
 
 def _grams(words: bytes) -> np.ndarray:
@@ -301,6 +341,7 @@ def _compared(stars: DataFrame, words: DataFrame, rank, alike: float) -> DataFra
 
     The words of a leader go to as many tasks as its members are dealt to.
     """
+    words = words.select("node", "words")
     stars = stars.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     few = F.broadcast if stars.limit(SMALL + 1).count() <= SMALL else lambda df: df
     # both joins take the words in the same form, so one shuffle of them serves both where the stars are many
@@ -354,6 +395,30 @@ def _mixed(dealt: DataFrame, sizes: DataFrame) -> DataFrame:
     return workspace.materialize(_of_bucket(dealt, mixed).select("bucket", "node").distinct().join(sizes, "node"), "members")
 
 
+def _by_size(members: DataFrame, alike: float) -> DataFrame:
+    """``members`` (bucket, node, size) with each bucket cut by the length of the texts; parts of one text go.
+
+    Texts that are alike differ in length by the factor 1 / ``alike`` at most, so their size
+    classes are equal or next to each other, and each text goes to its own class and the next.
+    """
+    step = np.log(1 / alike) + 1e-6  # more than the factor, so that rounding parts no pair
+    rank = F.floor(F.log(F.col("size") + WIDTH - 1) / step)
+    dealt = members.select("bucket", "node", "size", F.explode(F.array(rank, rank + 1)).alias("rank")).select(F.xxhash64("bucket", "rank").alias("bucket"), "node", "size")
+    several = dealt.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", "n")
+    return workspace.materialize(_of_bucket(dealt, several).select("bucket", "node", "size"), "members")
+
+
+def _split(members: DataFrame, parts: DataFrame, texts: int) -> tuple[DataFrame, DataFrame | None]:
+    """bucket and node of the ``members`` whose buckets hold few pairs of different parts, and the other members; these are None if there are few such pairs in all."""
+    own = members.join(parts, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("part"))
+    facts = own.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("pairs")).filter("pairs > 0")
+    found = workspace.materialize(_of_bucket(own, facts).select("bucket", "node", "size", (F.col("pairs") > FEW * F.col("n")).alias("wide"), (F.col("pairs") / F.col("n")).alias("share")), "members")
+    left = found.filter("wide").agg(F.coalesce(F.sum("share"), F.lit(0))).first()[0]
+    if left <= PAIRS * texts:
+        return found.select("bucket", "node"), None
+    return found.filter("not wide").select("bucket", "node"), found.filter("wide").select("bucket", "node", "size")
+
+
 def components(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
     """node, component (its smallest node) of the graph with ``edges`` (a, b): smallest labels spread along edges and jump."""
     two = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -431,8 +496,12 @@ def _classes(docs: DataFrame, alike: float) -> DataFrame:
     heavy = workspace.materialize(heavy.select("lead", "node", F.lit(1).cast("bigint").alias("partner")), "stars")
     parts = _merged(None, workspace.materialize(_links(_compared(heavy, words, rank, alike)).distinct(), "links"))
     members = _mixed(members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")), sizes)
-    turned = []
-    while True:
+    few, members = _split(members, parts, n_texts)
+    turned = [few]
+    if members is not None:
+        few, members = _split(_by_size(members, alike), parts, n_texts)
+        turned.append(few)
+    while members is not None:
         stars = workspace.materialize(_stars(members, F.struct("size", F.xxhash64("node"), "node")), "stars")
         shortest = workspace.broadcast_if_small(stars.groupBy("lead").agg(F.min("size").alias("partner")), SMALL)
         tested = workspace.materialize(_compared(stars.select("lead", "node").join(shortest, "lead"), words, rank, alike), "tested")
@@ -443,18 +512,13 @@ def _classes(docs: DataFrame, alike: float) -> DataFrame:
         failed = workspace.broadcast_if_small(tested.filter("not alike").select("lead").distinct(), SMALL)
         dealt = tested.join(failed, "lead", "left_semi").join(parts, "node", "left").select(F.coalesce("component", "node").alias("part"), "node", F.explode("keys").alias("key"), "lead")
         members = _mixed(dealt.select(F.xxhash64("lead", "key").alias("bucket"), "node", "part"), sizes)
-        own = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-        left = own.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if not left:
-            break
-        if left <= PAIRS * n_texts:  # few enough to compare all that are left, across classes
-            turned.append(members.select("bucket", "node"))
-            break
-    if turned:
-        own = reduce(DataFrame.unionByName, turned).join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-        other = own.select("bucket", F.col("node").alias("lead"), F.col("part").alias("of_lead"))
-        pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "node", F.lit(1).cast("bigint").alias("partner")).distinct()
-        parts = _merged(parts, workspace.materialize(_links(_compared(workspace.materialize(pairs, "pairs"), words, rank, alike)), "links"))
+        few, members = _split(members, parts, n_texts)  # few enough are all compared, across classes
+        turned.append(few)
+    own = reduce(DataFrame.unionByName, turned).join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    other = own.select("bucket", F.col("node").alias("lead"), F.col("part").alias("of_lead"))
+    pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "node").distinct()
+    pairs = workspace.materialize(_possible(pairs, words, alike).withColumn("partner", F.lit(1).cast("bigint")), "pairs")
+    parts = _merged(parts, workspace.materialize(_links(_compared(pairs, words, rank, alike)), "links"))
 
     named = workspace.materialize(texts.join(parts, "node", "left").select("key", "first", "n_copies", F.col("component").alias("bucket")), "named")
     alone = named.filter(F.col("bucket").isNull()).select("key", "first", "n_copies", F.col("first").alias("class_id"), F.col("key").alias("winner"))

@@ -433,6 +433,51 @@ def test_op10_rounds_find_what_comparing_all_finds(spark, monkeypatch, pairs):
     assert got == {k: 0 if k < 20 else 20 for k in range(22)}
 
 
+def test_op10_rounds_without_few_pairs(spark, monkeypatch):
+    """The same with no bucket left for the comparison of all pairs."""
+    monkeypatch.setattr(omh, "FEW", 0)
+    test_op10_rounds_find_what_comparing_all_finds(spark, monkeypatch, 0)
+
+
+def test_op10_unlike_pairs_are_not_compared(spark, monkeypatch):
+    """Texts that share common lines only: besides the first star, hardly a pair gets as far as its words in order."""
+    sketched, compared, tested = omh._sketched, omh._compared, []
+    monkeypatch.setattr(omh, "_sketched", lambda docs: sketched(docs).withColumn("sketch", F.expr("if(size > 0, array(1L), sketch)")))
+
+    def counted(stars, *rest):
+        tested.append(stars.count())
+        return compared(stars, *rest)
+
+    monkeypatch.setattr(omh, "_compared", counted)
+    first, second = (" ".join(f"{line}{p}" for p in range(12)) for line in ("first", "second"))
+    texts = [f"{first} " + " ".join(f"own{k}x{p}" for p in range(60 + k)) + f" {second}" * (k % 2) for k in range(24)] + [f"{first} " + " ".join(f"own5x{p}" for p in range(2, 65)) + f" {second}"]
+    got = {r["doc_id"]: r["class_id"] for r in omh.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {k: 5 if k == 24 else k for k in range(25)}
+    assert sum(tested) <= 24 + 3
+
+
+def test_op10_bounds_lose_no_alike_pair(spark):
+    """Words out of order and length classes, against all pairs."""
+    texts = []
+    for size in (1, 4, 5, 6, 40, 300):
+        base = [f"w{rng.randrange(size)}" for _ in range(size)]
+        for share in (0.0, 0.1, 0.19, 0.2, 0.25, 0.4):
+            gone = set(rng.sample(range(size), int(share * size)))
+            texts += [[w for p, w in enumerate(base) if p not in gone], ["z" if p in gone else w for p, w in enumerate(base)], base + ["more"] * int(share * size)]
+    texts = [t for t in texts if t]
+    words = omh._word_rows(spark.createDataFrame([(k, " ".join(t), False) for k, t in enumerate(texts)], "node bigint, text string, many boolean"))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    kept = {(r["lead"], r["node"]) for r in omh._possible(spark.createDataFrame(pairs, "lead bigint, node bigint"), words, 0.8).collect()}
+    both = {r["node"]: omh._both(bytes(r["words"])) for r in words.collect()}
+    alike = {(a, b) for a, b in pairs if omh.similarity(both[a][1], both[b][1]) >= 0.8 or omh.word_similarity(both[a][0], both[b][0]) > 0}
+    assert alike <= kept and len(kept) < len(pairs) // 2
+    members = spark.createDataFrame([(1, k, len(both[k][1])) for k in both], "bucket bigint, node bigint, size bigint")
+    at = {}
+    for r in omh._by_size(members, 0.8).collect():
+        at.setdefault(r["node"], set()).add(r["bucket"])
+    assert all(at[a] & at[b] for a, b in alike) and not at[0] & at[len(texts) - 1]
+
+
 def test_order_matters():
     a = np.arange(100, dtype=np.uint64)
     assert omh.similarity(a, a) == 1

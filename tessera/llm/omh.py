@@ -27,8 +27,10 @@ shingles (a prefix of them, rarest first, as long as the needed overlap leaves)
 buckets of the next round; those that have enough in common with b are dealt on by
 all that b lacks. Rounds go on while a bucket holds different classes, or until the
 pairs that are left are at most ``PAIRS`` a text; those are all compared, but for pairs
-whose words, out of order, already differ by more than the threshold allows. No round
-forms the pairs of a large group. Members whose ordered shingles, but for the order,
+whose words, out of order, already differ by more than the threshold allows. They are
+formed of classes first, in buckets of which those that overlap are taken together, and
+of texts only where two classes may hold some that are alike. No round forms the pairs
+of a large group. Members whose ordered shingles, but for the order,
 are like the leader's are compared across classes in the end: pairs grow with the
 number of texts with moved parts times that of their unmoved copies.
 
@@ -301,30 +303,67 @@ def _bag(words: np.ndarray) -> bytes:
     return np.minimum(np.bincount(words % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def _possible(pairs: DataFrame, words: DataFrame, alike: float) -> DataFrame:
-    """``pairs`` (lead, node) but for those whose texts cannot be alike, by their words out of order.
+def _bags(words: DataFrame) -> DataFrame:
+    """node, n_words and bag of every text, and its reach and longest as a part of its own (see ``_reaches``)."""
+    return words.select("node", "n_words", "bag", F.lit(0).cast("bigint").alias("reach"), F.col("n_words").alias("longest"))
+
+
+def _apart(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Rows a to b, and by how many words, out of order, the texts of each differ at least.
 
     A word that is put in, left out or exchanged takes one from a bin at most and adds one
     to a bin at most, so what one bag has more than the other bounds the edits from below.
     A chain of m shingles leaves at most max(a, b) - m words of either text, which the
     threshold bounds by the same share.
     """
-    bags = words.select("node", "n_words", "bag")
+    n, n_lead = (batch[c].to_numpy() for c in ("n_words", "n_lead"))
+    for (a, b, x, _), (_, _, y, _) in zip(kernels.utf8_slices(batch["bag"]), kernels.utf8_slices(batch["lead_bag"])):
+        more = x.reshape(-1, BINS).astype(np.int16) - y.reshape(-1, BINS)
+        apart = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        yield a, b, np.maximum(apart, np.abs(n[a:b] - n_lead[a:b]))
+
+
+def _of_both(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """``pairs`` (lead, node) with the ``bags`` of both."""
     bags = workspace.broadcast_if_small(bags, SMALL // 4)  # a row has some 150 bytes
-    of_lead = bags.select(F.col("node").alias("lead"), F.col("n_words").alias("n_lead"), F.col("bag").alias("lead_bag"))
+    of_lead = bags.select(F.col("node").alias("lead"), F.col("n_words").alias("n_lead"), F.col("bag").alias("lead_bag"), F.col("reach").alias("lead_reach"), F.col("longest").alias("lead_longest"))
+    return pairs.join(bags, "node").join(of_lead, "lead")
+
+
+def _possible(pairs: DataFrame, words: DataFrame, alike: float, named: DataFrame | None = None) -> DataFrame:
+    """``pairs`` (lead, node, and other columns) but for those whose texts cannot be alike, by their words out of order; with ``named``, those whose parts hold no such texts.
+
+    How far bags are apart is a metric, so the texts of two parts are no nearer to each
+    other than the texts that name the parts, less the reach of both.
+    """
+    kept = [f for f in pairs.schema if f.name not in ("lead", "node")]
+    names = ["lead", "node", *(f.name for f in kept)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reach, longest = ((batch[c].to_numpy(), batch[f"lead_{c}"].to_numpy()) for c in ("reach", "longest"))
+            most = (1 - alike) * np.maximum(*longest) + reach[0] + reach[1] + 1e-9
+            for a, b, apart in _apart(batch):
+                may = pa.array(apart <= most[a:b])
+                yield pa.RecordBatch.from_arrays([batch[c].slice(a, b - a).filter(may) for c in names], names=names)
+
+    return _of_both(pairs, _bags(words) if named is None else named).mapInArrow(work, ", ".join(["lead bigint, node bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in kept)]))
+
+
+def _reaches(own: DataFrame, words: DataFrame) -> DataFrame:
+    """The texts that name the parts of ``own`` (node, part): node, n_words, bag, reach (how far the texts of the part are from it at most, by their bags) and longest (words of the longest of them)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, n_lead = (batch[c].to_numpy() for c in ("n_words", "n_lead"))
-            for (a, b, x, _), (_, _, y, _) in zip(kernels.utf8_slices(batch["bag"]), kernels.utf8_slices(batch["lead_bag"])):
-                more = x.reshape(-1, BINS).astype(np.int16) - y.reshape(-1, BINS)
-                apart = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-                apart = np.maximum(apart, np.abs(n[a:b] - n_lead[a:b]))
-                may = pa.array(apart <= (1 - alike) * np.maximum(n[a:b], n_lead[a:b]) + 1e-9)
-                yield pa.RecordBatch.from_arrays([batch[c].slice(a, b - a).filter(may) for c in ("lead", "node")], names=["lead", "node"])
+            for a, b, apart in _apart(batch):
+                yield pa.RecordBatch.from_arrays([batch["lead"].slice(a, b - a), pa.array(apart.astype(np.int64)), batch["n_words"].slice(a, b - a)], names=["node", "reach", "longest"])
 
-    both = pairs.join(bags, "node").join(of_lead, "lead")
-    return both.select("lead", "node", "n_words", "bag", "n_lead", "lead_bag").mapInArrow(work, "lead bigint, node bigint")
+    bags = _bags(words)
+    others = own.filter("node <> part").select(F.col("part").alias("lead"), "node").distinct()
+    found = _of_both(others, bags).mapInArrow(work, "node bigint, reach bigint, longest bigint").groupBy("node").agg(F.max("reach").alias("far"), F.max("longest").alias("long"))
+    found = workspace.broadcast_if_small(workspace.materialize(found, "reaches"), SMALL)
+    named = bags.join(own.select(F.col("part").alias("node")).distinct(), "node", "left_semi").join(found, "node", "left")
+    return named.select("node", "n_words", "bag", F.coalesce("far", "reach").alias("reach"), F.greatest("longest", "long").alias("longest"))
 
 
 def _grams(words: bytes) -> np.ndarray:
@@ -419,6 +458,44 @@ def _split(members: DataFrame, parts: DataFrame, texts: int) -> tuple[DataFrame,
     return found.filter("not wide").select("bucket", "node"), found.filter("wide").select("bucket", "node", "size")
 
 
+def _pairs_of(own: DataFrame) -> DataFrame:
+    """Buckets of ``own`` (bucket, node, part) that hold different parts: n (texts), home (the first part, by hash), and the pairs of different parts and of texts of different parts."""
+    facts = own.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.min_by("part", F.xxhash64("part")).alias("home"), F.expr("count(*) * (count(*) - 1) div 2").alias("of_parts"), F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("of_texts"))
+    return facts.filter("of_parts > 0")
+
+
+def _together(own: DataFrame) -> DataFrame:
+    """``own`` (bucket, node, part), with overlapping buckets made one where that makes no more pairs; buckets of one part go.
+
+    Texts meet in as many buckets as they share shingles, so many buckets hold much the
+    same texts. Those with the same home are tried.
+    """
+    facts = workspace.materialize(_pairs_of(own), "facts")
+    dealt = workspace.materialize(_of_bucket(own, facts.select("bucket", "n", "home")).select("bucket", "node", "part", "home"), "dealt")
+    apart = facts.groupBy("home").agg(F.sum("of_parts").alias("parts_apart"), F.sum("of_texts").alias("texts_apart"), F.count("*").alias("buckets")).filter("buckets > 1")
+    as_one = _pairs_of(dealt.select(F.col("home").alias("bucket"), "node", "part").distinct()).select(F.col("bucket").alias("home"), "of_parts", "of_texts")
+    homes = apart.join(as_one, "home").filter("of_parts <= parts_apart and of_texts <= texts_apart").select("home")
+    homes = workspace.broadcast_if_small(workspace.materialize(homes, "homes"), SMALL)
+    one = dealt.join(homes, "home", "left_semi").select(F.xxhash64("home", F.lit(0)).alias("bucket"), "node", "part").distinct()
+    return dealt.join(homes, "home", "left_anti").select("bucket", "node", "part").unionByName(one)
+
+
+def _pairs(own: DataFrame, words: DataFrame, alike: float) -> DataFrame:
+    """lead and node of the texts of different parts that meet in a bucket of ``own`` (bucket, node, part), but for those that cannot be alike.
+
+    Pairs of parts are formed first, and of texts only where parts may hold some that are
+    alike, so a group of copies counts as one.
+    """
+    own = workspace.materialize(_together(own), "own")
+    met = workspace.materialize(own.select("bucket", F.col("part").alias("node")).distinct(), "met")
+    pairs = met.join(met.select("bucket", F.col("node").alias("lead")), "bucket").filter("node < lead")
+    near = workspace.materialize(_possible(pairs, words, alike, _reaches(own, words)), "near")
+    of_node = own.select("bucket", F.col("part").alias("node"), F.col("node").alias("x"))
+    of_lead = own.select("bucket", F.col("part").alias("lead"), F.col("node").alias("y"))
+    texts = near.join(of_node, ["bucket", "node"]).join(of_lead, ["bucket", "lead"]).select(F.col("y").alias("lead"), F.col("x").alias("node")).distinct()
+    return _possible(texts, words, alike)
+
+
 def components(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
     """node, component (its smallest node) of the graph with ``edges`` (a, b): smallest labels spread along edges and jump."""
     two = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -515,9 +592,7 @@ def _classes(docs: DataFrame, alike: float) -> DataFrame:
         few, members = _split(members, parts, n_texts)  # few enough are all compared, across classes
         turned.append(few)
     own = reduce(DataFrame.unionByName, turned).join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    other = own.select("bucket", F.col("node").alias("lead"), F.col("part").alias("of_lead"))
-    pairs = own.join(other, "bucket").filter(F.col("part") < F.col("of_lead")).select("lead", "node").distinct()
-    pairs = workspace.materialize(_possible(pairs, words, alike).withColumn("partner", F.lit(1).cast("bigint")), "pairs")
+    pairs = workspace.materialize(_pairs(own.distinct(), words, alike).withColumn("partner", F.lit(1).cast("bigint")), "pairs")
     parts = _merged(parts, workspace.materialize(_links(_compared(pairs, words, rank, alike)), "links"))
 
     named = workspace.materialize(texts.join(parts, "node", "left").select("key", "first", "n_copies", F.col("component").alias("bucket")), "named")

@@ -456,6 +456,53 @@ def test_op10_unlike_pairs_are_not_compared(spark, monkeypatch):
     assert sum(tested) <= 24 + 3
 
 
+def groups_in_many_buckets(monkeypatch):
+    """Texts that meet in three buckets (30 near copies, 12 texts that share two lines only), the classes to come, and the numbers of pairs that are formed."""
+    sketched, possible, formed = omh._sketched, omh._possible, []
+    monkeypatch.setattr(omh, "_sketched", lambda docs: sketched(docs).withColumn("sketch", F.expr("if(size > 0, array(1L, 2L, 3L), sketch)")))
+
+    def counted(pairs, *rest):
+        formed.append(pairs.count())
+        return possible(pairs, *rest)
+
+    monkeypatch.setattr(omh, "_possible", counted)
+    line = " ".join(f"line{p}" for p in range(12))
+    base = " ".join(f"base{p}" for p in range(80))
+    texts = [f"{line} {base} end{k}" for k in range(30)] + [f"{line} " + " ".join(f"own{k}x{p}" for p in range(70 + k)) for k in range(12)]
+    return texts, {k: 0 if k < 30 else k for k in range(42)}, formed
+
+
+def test_op10_pairs_go_by_groups(spark, monkeypatch):
+    """Not 30 pairs for each text besides a group of 30, nor one for each bucket."""
+    texts, want, formed = groups_in_many_buckets(monkeypatch)
+    got = {r["doc_id"]: r["class_id"] for r in omh.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == want
+    assert sum(formed) <= 13 * 12 // 2
+
+
+def test_op10_pairs_of_groups_lose_no_alike_pair(spark):
+    """Pairs by way of groups and of buckets taken together, against all pairs of each bucket."""
+    texts = []
+    for size in (30, 60, 61):
+        base = [f"w{rng.randrange(size)}" for _ in range(size)]
+        for k in range(16):
+            gone = set(rng.sample(range(size), rng.randint(0, size // 4)))
+            texts.append([f"z{k}" if p in gone else w for p, w in enumerate(base)])
+    words = omh._word_rows(spark.createDataFrame([(k, " ".join(t), False) for k, t in enumerate(texts)], "node bigint, text string, many boolean"))
+    part = {k: k - k % 16 + rng.choice([0, 3, k % 16]) for k in range(len(texts))}
+    part |= {p: p for p in part.values()}
+    buckets = {b: set(rng.sample(range(len(texts)), rng.choice([2, 12, 30]))) for b in range(30)} | {b: set(range(6, 40)) - {b} for b in range(30, 45)}
+    own = spark.createDataFrame([(b, k, part[k]) for b, ks in buckets.items() for k in ks], "bucket bigint, node bigint, part bigint")
+    got = {frozenset((r["lead"], r["node"])) for r in omh._pairs(own, words, 0.8).collect()}
+    both = {r["node"]: omh._both(bytes(r["words"])) for r in words.collect()}
+    met = {frozenset((a, b)) for ks in buckets.values() for a in ks for b in ks if part[a] != part[b]}
+    alike = {m for m in met for a, b in [sorted(m)] if omh.similarity(both[a][1], both[b][1]) >= 0.8 or omh.word_similarity(both[a][0], both[b][0]) > 0}
+    assert len(alike) > 20 and alike <= got and all(part[a] != part[b] for a, b in map(sorted, got)) and len(got) < len(met) // 2
+    one = omh._together(own)
+    pairs = [sum(r["of_texts"] for r in omh._pairs_of(x).collect()) for x in (own, one)]
+    assert pairs[1] < pairs[0]
+
+
 def test_op10_bounds_lose_no_alike_pair(spark):
     """Words out of order and length classes, against all pairs."""
     texts = []

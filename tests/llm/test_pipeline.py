@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from tessera.llm import extendible, langid, mixing, queries
 
-from .test_small import alike_classes, word_list
+from .test_small import alike_classes, groups_in_many_buckets, word_list
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,11 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     docs.limit(0).select("doc_id", "text").withColumnRenamed("doc_id", "item_id").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_duplicates_pair_groups(spark, monkeypatch):
+    """The stage forms no pair for each text of a large group, nor for each bucket."""
+    texts, want, formed = groups_in_many_buckets(monkeypatch)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert sum(formed) <= 13 * 12 // 2

@@ -364,3 +364,48 @@ def test_eig_and_batch(spark):
     s = tc.asarray(np.array([[0.0, 2.0], [-2.0, 0.0]]), spark=spark)
     assert np.allclose(sorted(N(tc.eigvals_skew(s)).imag.ravel()), [-2, 2])
     np.testing.assert_allclose(N(tc.batch_gemv(a, a)), x @ x)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_with_a_row_or_column_repeat_nothing(spark):
+    """A factor of one row or column meets the stored cells of the other, whatever the height."""
+    tall = tc.Matrix(spark.createDataFrame([(0, 1, 2.0), (1 << 40, 1, 3.0), (1 << 40, 4, 5.0)], "i bigint, j bigint, v double"), (1 << 40) + 1, 5, "float64")
+    row = tc.vector([1.0, 2.0, 0.0, 0.0, 4.0], spark=spark).T
+    want = [(0, 1, 4.0), (1 << 40, 1, 6.0), (1 << 40, 4, 20.0)]
+    for got in (tall * row, row * tall, tall * tc.matrix([[1.0, 2.0, 0.0, 0.0, 4.0]], spark=spark)):
+        assert "Generate" not in _plan(got.df)
+        assert sorted(map(tuple, got.df.collect())) == want and got.shape == tall.shape
+    turned = tall.T * row.T
+    assert sorted(map(tuple, turned.df.collect())) == sorted((j, i, v) for i, j, v in want)
+    u, v = np.array([1, 2, 0]), np.array([[3, 0, 4, 5]])
+    both = tc.vector(u, spark=spark) * tc.matrix(v, spark=spark)
+    assert (N(both) == u[:, None] * v).all()
+    bits = tc.matrix([[True, False], [True, True]], spark=spark) * tc.matrix([[False, True]], spark=spark)
+    assert bits.dtype == "bit" and (N(bits) == [[False, False], [False, True]]).all()
+    assert (tc.zeros((0, 3), dtype="float64", spark=spark) * tc.ones((1, 3), dtype="float64", spark=spark)).df.count() == 0
+    with pytest.raises(ValueError):
+        tall * tc.vector([1.0, 2.0], spark=spark).T
+
+
+def test_functions_of_chosen_cells(spark):
+    """With ``where`` a function that has a value at zero takes the cells of a pattern, not the whole grid."""
+    n = 1 << 40
+    m = tc.Matrix(spark.createDataFrame([(0, n, 4), (n, 2, 1), (5, 5, 0)], "i bigint, j bigint, v int"), n + 1, n + 1, "int32")
+    other = tc.Matrix(spark.createDataFrame([(0, n, True), (7, 7, True)], "i bigint, j bigint, v boolean"), n + 1, n + 1, "bit")
+    got = {tuple(r)[:2]: r["v"] for r in tc.log(m, where=m).df.collect()}
+    assert got == {(0, n): np.log(4), (n, 2): 0.0, (5, 5): -np.inf}
+    assert {tuple(r) for r in tc.exp(m, where=other).df.collect()} == {(0, n, np.exp(4)), (7, 7, 1.0)}
+    assert {tuple(r) for r in elementwise.bitwise_not(m, where=other).df.collect()} == {(0, n, -5), (7, 7, -1)}
+    with pytest.raises(ValueError):
+        tc.cos(m, where=tc.ones((2, 2), dtype="float64", spark=spark))
+
+
+@pytest.mark.parametrize("name", ["logarithm", "integer_not"])
+def test_no_query_of_stored_cells_makes_the_grid(spark, name):
+    from tessera.plans import catalog
+
+    plan = _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "Range" not in plan and "Join" not in plan

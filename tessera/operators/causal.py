@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import dtypes as D
-from tessera.functions.frames import cut
+from tessera.functions.frames import cut, parts, spread
 from tessera.plans import trace
 
 from . import elementwise, products
@@ -21,6 +21,8 @@ from .array import Matrix, session
 BLOCK = 2048
 #: Points whose packed relation is sent to every task of compute_k: 56 MB at this size.
 PACKED = 30_000
+#: Tasks of paths for each that the files of the points need: a point has several edges.
+PER_POINT = 3
 
 
 class Spacetime:
@@ -180,13 +182,20 @@ def relation(points: DataFrame, precedes, order: str = "index", block: int = BLO
 
 def path_counts(edges: DataFrame) -> DataFrame:
     """i, j, v: paths of two steps."""
-    return edges.select("i", F.col("j").alias("k")).join(edges.select(F.col("i").alias("k"), "j"), "k").groupBy("i", "j").agg(F.count("*").alias("v"))
+    return _steps(edges, PER_POINT * parts(edges)).groupBy("i", "j").agg(F.count("*").alias("v"))
+
+
+def _steps(edges: DataFrame, tasks: int) -> DataFrame:
+    """i, j of every path of two steps; in large tables dealt by i and j, as a task would else hold the pairs of ever more paths."""
+    first, second = edges.select("i", F.col("j").alias("k")), edges.select(F.col("i").alias("k"), "j")
+    both = spread(first, ["k"], tasks=tasks).join(spread(second, ["k"], tasks=tasks), "k")
+    return spread(both.select("i", "j"), ["i", "j"], tasks=tasks)
 
 
 def links(edges: DataFrame) -> DataFrame:
     """Edges that no path of two steps replaces (the Hasse diagram)."""
-    between = edges.select("i", F.col("j").alias("k")).join(edges.select(F.col("i").alias("k"), "j"), "k").select("i", "j").distinct()
-    return edges.join(between, ["i", "j"], "left_anti")
+    tasks = PER_POINT * parts(edges)
+    return spread(edges, ["i", "j"], tasks=tasks).join(_steps(edges, tasks).distinct(), ["i", "j"], "left_anti")
 
 
 def compute_k(c: Matrix, a: float, method: str | None = None) -> Matrix:
